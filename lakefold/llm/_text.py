@@ -103,7 +103,7 @@ def pieces(buf: bytes, most: int = 1 << 20) -> Iterator[bytes]:
 class WordCache:
     """Encodes many repeated strings through a batch encoder, remembering up to `limit` results."""
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int = 600_000):
         self.encode, self.limit, self.seen = encode, limit, {}
 
     def __call__(self, words: list) -> list:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from . import piece, quality, substring, tokenbin, toxicity
+from ._cluster import new_folder
 
-from . import substring
+WORD_BPE, PIECE_BPE, BYTE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
+ID_CRC = "crc32(cast(coalesce(cast(doc_id as string), '') as binary))"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +20,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(_table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=False)
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-ids")
+    tokenbin.write_ids(_table(spark, sf_dir, "documents"), folder, WORD_BPE, end_id=1)
+    return tokenbin.read_ids(spark, folder)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece.encode_pieces(_table(spark, sf_dir, "documents"), PIECE_BPE, keep=["doc_id"], with_text=False)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), learn=F.expr(f"{ID_CRC} % 4 <> 2"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", F.expr(f"{ID_CRC} % 4 = 2").alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), PIECE_BPE, BYTE_BPE, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_token_ids": op5_token_ids,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
