@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import piece, quality, substring, tokenbin, toxicity
+from . import embed, jaccard, piece, quality, substring, tokenbin, toxicity
 from ._cluster import new_folder
 
 WORD_BPE, PIECE_BPE, BYTE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"))
@@ -26,6 +26,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_ids(spark, folder)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.encode_pieces(_table(spark, sf_dir, "documents"), PIECE_BPE, keep=["doc_id"], with_text=False)
 
@@ -37,6 +41,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(f"{ID_CRC} % 4 = 2").alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), PIECE_BPE, BYTE_BPE, keep=["doc_id"])
 
@@ -44,8 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_token_ids": op5_token_ids,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE: dict[str, str] = {}
