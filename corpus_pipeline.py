@@ -1,6 +1,68 @@
-"""Corpus pipeline: stages applied one after another to documents."""
+"""Corpus pipeline: toxicity, quality, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. run() writes each stage's rows as Parquet in the shared folder and reads them again, so a
+lost executor costs no more than the stage at work.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lakefold.llm import jaccard, packing, quality, substring, toxicity
+from lakefold.llm._cluster import new_folder
+from lakefold.llm.queries import BYTE_BPE, ID_CRC, PIECE_BPE
+
+#: Near-duplicates: runs of five words, Jaccard similarity of 0.8.
+SHINGLE, SIMILARITY = 5, Fraction(4, 5)
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labelled ones outside its hold-out, scores under TOXIC."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, learn=F.expr(f"{ID_CRC} % 4 <> 2"))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the tokenisers' bands."""
+    return quality.judge(docs, PIECE_BPE, BYTE_BPE).where("kept").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id."""
+    return jaccard.one_of_each(docs, n=SHINGLE, threshold=SIMILARITY).select(docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of windows that also start earlier; n_chars follows the text."""
+    cut = substring.dedup_substrings(docs).withColumnRenamed("kept_text", "text")
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per part of a document, with its bin."""
+    return packing.pack(docs, keep=["doc_id"])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("packing", pack_sequences),
+]
+#: A fitted model, tokenisers and best-fit are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -62,8 +62,10 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> dict:
     if not len(terms):
         return empty
     size = np.array([len(r[1]) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    at = np.searchsorted(terms, flat).clip(max=len(terms) - 1)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    at = np.empty(len(flat), np.int32)
+    for a in range(0, len(flat), 1 << 20):
+        at[a : a + (1 << 20)] = np.searchsorted(terms, flat[a : a + (1 << 20)]).clip(max=len(terms) - 1)
     known = terms[at] == flat
     at, doc = at[known], doc[known]
     begin = np.searchsorted(doc, np.arange(len(rows) + 1))
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
     # an id that many rows share can't make the sample larger
     found = texts.mapInArrow(_features, "y int, ids binary").limit(4 * most).collect()
     found.sort(key=lambda r: (r["y"], bytes(r["ids"])))
-    return fit([(r["y"], np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int32)) for r in found])
+    return fit([(r["y"], np.frombuffer(r["ids"], "<i4")) for r in found])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
