@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 MAX_LONG = (1 << 63) - 1
@@ -140,7 +141,7 @@ def unzorder(z: Column, n: int, k: int) -> Column:
 
 def ieee754(x: Column) -> Column:
     """Struct (mantissa, exponent) with x = mantissa * 2 ** exponent, mantissa odd or zero."""
-    import pandas as pd
+
 
     @F.pandas_udf("mantissa long, exponent long")
     def split(s: pd.Series) -> pd.DataFrame:
