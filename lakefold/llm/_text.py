@@ -101,16 +101,25 @@ def pieces(buf: bytes, most: int = 1 << 20) -> Iterator[bytes]:
 
 
 class WordCache:
-    """Encodes many repeated strings through a batch encoder, remembering up to `limit` results."""
+    """Encodes many repeated strings through a batch encoder, remembering the last `limit` to 2 * `limit` results."""
 
-    def __init__(self, encode, limit: int = 600_000):
-        self.encode, self.limit, self.seen = encode, limit, {}
+    def __init__(self, encode, limit: int = 500_000):
+        self.encode, self.limit, self.seen, self.old = encode, limit, {}, {}
 
-    def __call__(self, words: list) -> list:
-        if len(self.seen) > self.limit:
-            self.seen = {}
-        seen = self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
+    def learn(self, words) -> dict:
+        """A dict with at least the results for words."""
+        new = set(words).difference(self.seen)
         if new:
-            seen.update(zip(new, self.encode(new), strict=True))
-        return [seen[w] for w in words]
+            if len(self.seen) > self.limit:
+                self.old, self.seen = self.seen, {}
+                new = set(words)
+            old = self.old
+            again = new.intersection(old) if old else ()
+            self.seen.update((w, old[w]) for w in again)
+            fresh = list(new.difference(again))
+            if fresh:
+                self.seen.update(zip(fresh, self.encode(fresh), strict=True))
+        return self.seen
+
+    def __call__(self, words: list) -> list:
+        return list(map(self.learn(words).__getitem__, words))

@@ -176,8 +176,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without begin and end."""
         split = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.cache([c for x in split for c in x if len(c) <= MEMO_CHARS])
-        seen, pack = self.cache.seen, self.pack
+        seen, pack = self.cache.learn([c for x in split for c in x if len(c) <= MEMO_CHARS]), self.pack
         return [b"".join([seen[c] if len(c) <= MEMO_CHARS else pack(c) for c in x]) for x in split]
 
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +33,9 @@ from ._text import WordCache, chunks
 #: Text that one file is meant to hold.
 FILE_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
+#: Punctuation that ends many words.
+MARKS = ".,;:!?"
+_SPLIT = re.compile(r"([A-Za-zäöüßàâçèéêëîïôûñáíóú]+)([.,;:!?]?)")
 
 _ENCODERS: dict[tuple, WordCache] = {}
 
@@ -39,15 +44,44 @@ def word_encoder(path: str, width: int) -> WordCache:
     """Maps words (bytes without ASCII white space) to their ids' bytes with the tokenizers library; one per worker process.
 
     The vocabulary's rules drop white space and never join text across it, so a text's ids are its
-    words' ids in a row.
+    words' ids in a row. They lower letters and part them from punctuation, so `Word,` has the ids of
+    `word` and those of `,`.
     """
     if (path, width) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        kind = f"<u{width}"
-        _ENCODERS[path, width] = WordCache(lambda words: [np.array(x.ids, kind).tobytes() for x in tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+        for token, k in tok.get_vocab().items():
+            ends[k] = token.endswith("</w>")
+
+        def plain(texts: list[str]) -> list[bytes]:
+            return [np.array(x.ids, f"<u{width}").tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def letters(texts: list[str]) -> list[bytes]:
+            """Of words of lower-case letters, hundreds at a time: each ends with the only id that ends a word."""
+            out = []
+            for a in range(0, len(texts), 512):
+                some = texts[a : a + 512]
+                ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, f"<u{width}")
+                cut = (np.flatnonzero(ends[ids]) + 1) * width
+                raw = ids.tobytes()
+                out += [raw[x:y] for x, y in zip([0, *cut.tolist()], cut.tolist(), strict=False)] if len(cut) == len(some) else plain(some)
+            return out
+
+        marks = {c: x for c, x in zip(MARKS, plain(list(MARKS)), strict=True)}
+        bases = WordCache(letters, 400_000)
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            texts = [w.decode() for w in words]
+            split = [_SPLIT.fullmatch(t) for t in texts]
+            keys = [m[1].lower() if m else t if t.isalpha() and t.islower() and unicodedata.is_normalized("NFC", t) else None for t, m in zip(texts, split, strict=True)]
+            known = bases.learn([k for k in keys if k])
+            rest = iter(plain([t for t, k in zip(texts, keys, strict=True) if not k]))
+            return [(known[k] + marks[m[2]] if m and m[2] else known[k]) if k else next(rest) for k, m in zip(keys, split, strict=True)]
+
+        _ENCODERS[path, width] = WordCache(encode)
     return _ENCODERS[path, width]
 
 
@@ -75,8 +109,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
             texts = [(t or "").encode() for t in records["text"].to_pylist()]
             for some in chunks(texts, len, 4 << 20):
                 words = [t.split() for t in some]
-                encode([w for x in words for w in x])
-                seen = encode.seen
+                seen = encode.learn([w for x in words for w in x])
                 for x in words:
                     ids = b"".join([seen[w] for w in x]) + end
                     sizes.append(len(ids) // width)
