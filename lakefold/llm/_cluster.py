@@ -35,6 +35,22 @@ def row_hash(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of counts with the largest n, at most `most` of them, those of one sixteenth of a power of two together.
+
+    What comes to the driver is a histogram of a thousand rows at most, then no more than `most` rows,
+    whatever the number of partitions. counts is read twice.
+    """
+    step = F.floor(F.log2(n) * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["s"]
+    return counts.where(F.lit(False) if least is None else step >= least)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node reachable.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _text as T
-from ._cluster import checkpoint
+from ._cluster import checkpoint, most_frequent
 
 VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 1000, 32, 24, 32, 64, 4e-3, 3
 #: Of TRAINERS at most, one for each TRAINER_TOKENS tokens of the share.
@@ -315,7 +315,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     counts = checkpoint(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = int(totals[0]), int(totals[1])
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(CACHE).collect()]
+    often = most_frequent(counts.where(F.col("word") != F.lit(END)), "c", CACHE).select("word", "c").toArrow()
+    top = sorted(zip(often["word"].to_pylist(), often["c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     end_row = counts.where(F.col("word") == F.lit(END)).first()
     ends = end_row["c"] if end_row else 0
     vocabulary = top[:VOCABULARY]

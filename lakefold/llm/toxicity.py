@@ -140,7 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
     if learn is not None:
         rows = rows.where(learn)
     # at most `most` rows of two numbers: small enough to broadcast at any size of the input
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    share = min(1.0, 1.1 * most / max(1, rows.count()))
+    # the least hashes lie below this bound, so each task offers about its part of them
+    some = rows.where(F.xxhash64("doc_id").cast("double") <= (2 * share - 1) * 2.0**63)
+    sample = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
     # an id that many rows share can't make the sample larger
     found = texts.mapInArrow(_features, "y int, ids binary").limit(4 * most).collect()
