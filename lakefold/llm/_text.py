@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -75,7 +75,7 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return low
 
 
-def chunks(items: list, weight, most: int) -> Iterator[list]:
+def chunks(items: Iterable, weight, most: int) -> Iterator[list]:
     """Consecutive slices of items whose weights sum to about most."""
     out, total = [], 0
     for x in items:
@@ -114,9 +114,12 @@ class WordCache:
                 self.old, self.seen = self.seen, {}
                 new = set(words)
             old = self.old
-            again = new.intersection(old) if old else ()
-            self.seen.update((w, old[w]) for w in again)
-            fresh = list(new.difference(again))
+            fresh = []
+            for w in new:
+                if w in old:
+                    self.seen[w] = old[w]
+                else:
+                    fresh.append(w)
             if fresh:
                 self.seen.update(zip(fresh, self.encode(fresh), strict=True))
         return self.seen

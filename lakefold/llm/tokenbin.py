@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._text import WordCache, chunks
 
 #: Text that one file is meant to hold.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 256 << 20
 NULL_ID = -(1 << 63)
 #: Punctuation that ends many words.
 MARKS = ".,;:!?"
