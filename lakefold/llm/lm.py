@@ -10,9 +10,10 @@ on to the next window, in lanes that hold one document after another. Scoring ca
 through the whole document likewise, so a score is that of the complete text, however long.
 
 Counts are exact over all training documents. A fixed share (1 in SHARE, by hash) of the training
-documents also trains the network, in TRAINERS tasks that each train a copy from the same start on
-their part; the copies are averaged. So what training reads grows with the input, and what comes back
-is TRAINERS sets of weights. Small parts are read several times, up to LEAST_UPDATES updates.
+documents also trains the network, in one task for each TRAINER_TOKENS tokens. Each trains a copy from
+the same start on its part, as a stream; the copies are averaged in two levels. So what training reads,
+and how many tasks read it, grows with the input. A part of less than TRAIN_TOKENS tokens is read
+several times, up to LEAST_UPDATES updates.
 The CACHE most frequent words are sent to the tasks with their counts; all others are joined.
 
 Null and empty texts are the end alone. Null ids count as the empty text where ids choose training
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,8 +36,8 @@ from . import _text as T
 from ._cluster import checkpoint, most_frequent
 
 VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 1000, 32, 24, 32, 64, 4e-3, 3
-#: Of TRAINERS at most, one for each TRAINER_TOKENS tokens of the share.
-SHARE, TRAINERS, TRAINER_TOKENS, LEAST_UPDATES = 8, 6, 400_000, 100
+#: One in SHARE training documents trains the network, in a task for each TRAINER_TOKENS tokens, TRAIN_TOKENS at a time.
+SHARE, TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 8, 2_500_000, 400_000, 100
 CACHE, SCORE_LANES = 100_000, 512
 #: The end's spelling: no word holds white space.
 END = b"\n"
@@ -53,7 +55,7 @@ class Gru:
     def __init__(self, counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES):
         """counts: of each token, by falling frequency; the last token is the end."""
         p = (counts + 1.0) / (counts + 1.0).sum()
-        self.end, self.hidden = len(p) - 1, hidden
+        self.end, self.hidden, self.done = len(p) - 1, hidden, 0
         mass = np.cumsum(np.sqrt(np.sort(p)[::-1]))
         order = np.argsort(-p, kind="stable")
         number = np.minimum((mass / mass[-1] * classes).astype(np.int64), classes - 1)
@@ -160,20 +162,22 @@ class Gru:
         dx[used] = np.add.reduceat(dgates.reshape(-1, 3 * n)[by], first)
         return -logp.sum() / max(1, len(at)), {"x": dx, "u": du, "b": db, **grads}, last
 
-    def train(self, docs: list[np.ndarray], updates: int, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> float:
-        """Passes over docs (ids without the end) until so many updates are made, and one whole pass at least; the last loss."""
-        m = {k: np.zeros_like(v) for k, v in self.w.items()}
-        s = {k: np.zeros_like(v) for k, v in self.w.items()}
+    def train(self, docs: list[np.ndarray], updates: int = 0, planned: int = 0, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> float:
+        """Passes over docs (ids without the end) until so many updates are made, and one whole pass at least; the last loss.
+
+        The rate falls to a tenth over `planned` updates, counted over all calls.
+        """
         if not docs:
             return 0.0
         size = [len(d) + 1 for d in docs]
         # lanes of one length: none is left alone with one long document
         lanes = max(4, min(lanes, sum(size) // max(size)))
-        rnd, done, loss, planned = np.random.default_rng(SEED), 0, 0.0, 0
-        while done == 0 or done < updates:
+        rnd, begun, loss = np.random.default_rng((SEED, self.done)), self.done, 0.0
+        while self.done == begun or self.done - begun < updates:
             order = rnd.permutation(len(docs))
             tokens, _, size = lanes_of([docs[k] for k in order], lanes, self.end)
-            planned = planned or max(1, -(-updates // -(-len(tokens) // steps))) * -(-len(tokens) // steps)
+            windows = -(-len(tokens) // steps)
+            planned = planned or max(1, -(-updates // windows)) * windows
             h = np.zeros((tokens.shape[1], self.hidden), np.float32)
             inputs = np.concatenate([np.full((1, tokens.shape[1]), self.end), tokens[:-1]])
             for t in range(0, len(tokens), steps):
@@ -181,18 +185,23 @@ class Gru:
                 part = slice(t, t + steps)
                 mask = (np.arange(t, min(t + steps, len(tokens)))[:, None] < size[:active]).astype(bool)
                 loss, grads, h = self.gradients(inputs[part, :active], tokens[part, :active], mask, h[:active])
-                done += 1
-                count = max(1, mask.sum())
-                norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / count
-                # falling to a tenth, and smaller where few lanes are left to speak for the rest
-                now = rate * (1 - 0.9 * min(1, done / planned)) * active / len(size)
-                for k, g in grads.items():
-                    g = g * np.float32(min(1, 0.5 / (norm + 1e-12)) / count)
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    s[k] = 0.99 * s[k] + 0.01 * g * g
-                    self.w[k] -= np.float32(now) * (m[k] / (1 - 0.9**done)) / (np.sqrt(s[k] / (1 - 0.99**done)) + 1e-6)
+                # smaller where few lanes are left to speak for the rest
+                self.update(grads, max(1, mask.sum()), rate * (1 - 0.9 * min(1, self.done / planned)) * active / len(size))
         return loss
 
+    def update(self, grads: dict, count: int, rate: float) -> None:
+        """One step by moments of the mean gradient, whose norm is held to 0.5."""
+        if not self.done:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
+        self.done += 1
+        norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values())) / count
+        for k, g in grads.items():
+            g = g * np.float32(min(1, 0.5 / (norm + 1e-12)) / count)
+            m, s = self.moments[k]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            self.w[k] -= np.float32(rate) * (m / (1 - 0.9**self.done)) / (np.sqrt(s / (1 - 0.99**self.done)) + 1e-6)
+
     def score(self, docs: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
         """Natural log probability of each document and its end."""
         out = np.zeros(len(docs))
@@ -261,16 +270,35 @@ def _ids(words: list[bytes], index: dict, other: int) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    index, counts, _, _, _ = model.value
-    docs = [_ids(words_of(t), index, len(counts) - 2) for records in batches for t in records["text"].to_pylist()]
-    if docs:
-        net = Gru(counts)
-        net.train(docs, LEAST_UPDATES)
-        yield pa.RecordBatch.from_pydict({"n": [sum(map(len, docs))], "w": [net.dump()]})
+    """Weights after the task's documents, TRAIN_TOKENS of them at a time."""
+    index, counts, _, _ = model.value
+    net, total, calls = Gru(counts), 0, 0
+    docs = (_ids(words_of(t), index, len(counts) - 2) for records in batches for t in records["text"].to_pylist())
+    for some in T.chunks(docs, lambda d: len(d) + 1, TRAIN_TOKENS):
+        held = sum(len(d) + 1 for d in some)
+        short = not calls and held < TRAIN_TOKENS
+        net.train(some, LEAST_UPDATES if short else 0, 0 if short else TRAINER_TOKENS // (LANES * STEPS))
+        total, calls = total + held, calls + 1
+    if calls:
+        yield pa.RecordBatch.from_pydict({"n": [total], "w": [net.dump()]})
+
+
+def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the mean of the weights, each counted by its tokens."""
+    total, held = 0, None
+    for records in batches:
+        for n, w in zip(records["n"].to_pylist(), records["w"].to_pylist(), strict=True):
+            own = {k: v.astype(np.float64) * n for k, v in np.load(io.BytesIO(w)).items()}
+            held = own if held is None else {k: held[k] + own[k] for k in own}
+            total += n
+    if total:
+        out = io.BytesIO()
+        np.savez(out, **{k: (v / total).astype(np.float32) for k, v in held.items()})
+        yield pa.RecordBatch.from_pydict({"n": [total], "w": [out.getvalue()]})
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, weights, total: float, other_total: float) -> Iterator[pa.RecordBatch]:
-    index, counts, known, known_counts, _ = model.value
+    index, counts, known, known_counts = model.value
     net = Gru(counts)
     net.w = weights.value
     other = len(counts) - 2
@@ -329,17 +357,20 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     known_counts = np.array([*(c for _, c in top), ends], np.float64)
     total = n + 0.1 * (v + 1)
     other_total = others + 0.1 * (max(0, v - len(vocabulary) - (ends > 0)) + 1)
-    model = spark.sparkContext.broadcast((index, sizes, known, known_counts, None))
+    model = spark.sparkContext.broadcast((index, sizes, known, known_counts))
 
     part = training.where(F.pmod(F.xxhash64("d", "h", F.lit("train")), F.lit(SHARE)) == 0).select("text", "d", "h")
-    trainers = int(min(TRAINERS, max(1, n // SHARE // TRAINER_TOKENS)))
-    trained = part.repartition(trainers, "d", "h").sortWithinPartitions("d", "h").select("text").mapInArrow(lambda it: _train(it, model), "n long, w binary").collect()
+    trainers = max(1, n // SHARE // TRAINER_TOKENS)
+    copies = part.repartition(trainers, "d", "h").sortWithinPartitions("d", "h").select("text").mapInArrow(lambda it: _train(it, model), "n long, w binary")
+    # averaged in two levels: the driver gets a root of the number of copies
+    groups = math.isqrt(trainers - 1) + 1
+    trained = checkpoint(copies).repartition(groups).mapInArrow(_average, "n long, w binary").collect()
     net = Gru(sizes)
     if trained:
-        weight = np.array([r["n"] + 1 for r in trained], np.float64)
-        copies = [np.load(io.BytesIO(bytes(r["w"]))) for r in sorted(trained, key=lambda r: bytes(r["w"]))]
-        weight = np.array([r["n"] + 1 for r in sorted(trained, key=lambda r: bytes(r["w"]))], np.float64) / weight.sum()
-        net.w = {k: sum(c[k] * x for c, x in zip(copies, weight, strict=True)).astype(np.float32) for k in Gru.NAMES}
+        table = pa.RecordBatch.from_pydict({"n": [r["n"] for r in trained], "w": [bytes(r["w"]) for r in trained]})
+        mean, = _average(iter([table]))
+        loaded = np.load(io.BytesIO(mean["w"][0].as_py()))
+        net.w = {k: loaded[k] for k in Gru.NAMES}
     weights = spark.sparkContext.broadcast(net.w)
 
     texts = held.select("d", "h", "text")
