@@ -91,15 +91,16 @@ def _check(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     x = np.stack([np.frombuffer(r, "<f8") for r in group["x"]]) if group["x"].map(len).nunique() == 1 else None
     if x is None:  # one key for vectors of different dimensions
         return pd.concat([_check(part, threshold) for _, part in group.groupby(group["x"].map(len))])
-    v, weight, block = (group[c].to_numpy() for c in ("v", "w", "block"))
+    v, weight, block, label = (group[c].to_numpy() for c in ("v", "w", "block", "label"))
     keys = np.stack(group["keys"].to_numpy())
     by = np.argsort(v)
-    x, v, weight, keys, block = x[by], v[by], weight[by], keys[by], block[by]
+    x, v, weight, keys, block, label = x[by], v[by], weight[by], keys[by], block[by], label[by]
     # scaled first: lengths neither overflow nor vanish
     x = x / np.abs(x).max(1, keepdims=True)
     length = np.sqrt((x * x).sum(1))
     left, right = (np.flatnonzero(block == k) for k in (i, j))
     near = (x[left] @ x[right].T) / np.outer(length[left], length[right]) >= threshold
+    near &= label[left][:, None] == label[right]
     if i == j:
         near = np.triu(near, 1)
     a, b = np.nonzero(near)
@@ -125,7 +126,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # each block meets itself and all others
     pairs = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as i, greatest(k, block) as j))")
     groups = entries.select("v", "t", "key", "block", F.explode(pairs).alias("p")).select("v", "t", "key", "block", "p.*")
-    data = keyed.join(classes.select("v", "w", "x"), "v")
+    data = keyed.join(classes.select("v", "w", "x", "label"), "v")
     checked = groups.join(data, "v").groupBy("t", "key", "i", "j").applyInPandas(lambda g: _check(g, threshold), "a long, b long, n long")
     found = checkpoint(checked)
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "v")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,7 +80,35 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
+WORDS = r"[^\x20\x09-\x0D]+"
+REACH = """
+        reach(id, root) as (select id, id from nodes union select l.y, r.root from reach r join links l on r.id = l.x)"""
 ORACLE = {
+    "op1_substring_dedup": f"""
+        with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
+        starts as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from docs),
+        windows as (select doc_id, s, row_number() over (partition by array_to_string(w[s:s + 19], ' ') order by doc_id, s) as k from starts),
+        gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from windows where k > 1),
+        words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from docs),
+        kept as (select doc_id, string_agg(word, ' ' order by pos) as body, count(*) as n from words anti join gone using (doc_id, pos) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+        from docs left join kept using (doc_id)""",
+    "op6_jaccard_join": f"""
+        with recursive docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORDS}') as w from documents),
+        sets as (
+            select distinct doc_id, array_to_string(w[s:s + 2], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as s from docs where len(w) > 0)),
+        sizes as (select doc_id as id, count(*) as n from sets group by doc_id),
+        pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        links as (select x, y from pairs join sizes a on a.id = x join sizes b on b.id = y where 100 * c >= 90 * (a.n + b.n - c)),
+        nodes as (select doc_id as id from documents),{REACH}
+        select doc_id, coalesce(n, 0) as n_shingles, min(root) as component_id
+        from documents left join sizes on sizes.id = doc_id join reach on reach.id = doc_id group by doc_id, n""",
+    "op9_embedding_near_dedup": f"""
+        with recursive vectors as (select vec_id as id, label, cast(embedding as double[]) as v from embeddings where label is not null),
+        links as (select a.id as x, b.id as y from vectors a join vectors b on a.label = b.label and a.id <> b.id and list_cosine_similarity(a.v, b.v) >= 0.98),
+        nodes as (select vec_id as id from embeddings),{REACH}
+        select vec_id, (select count(*) from links where x = vec_id) as n_links, min(root) as component_id, min(root) = vec_id as kept
+        from embeddings join reach on reach.id = vec_id group by vec_id""",
     # the windows' rule, from the operator's description: 2048 tokens, a quarter for history, two turns of it
     "op3_chat_format": r"""
         with rows as (
