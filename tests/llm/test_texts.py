@@ -290,3 +290,21 @@ def test_most_frequent(spark):
     df = spark.createDataFrame([(k, 1 + k * k) for k in range(100)], "w long, n long")
     kept = {r["w"] for r in most_frequent(df, "n", 30).collect()}
     assert 20 <= len(kept) <= 30 and kept == set(range(100 - len(kept), 100))
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op3_chat_format", "op6_jaccard_join", "op9_embedding_near_dedup"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from lakefold.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    out = queries.QUERIES[name](spark, sf)
+    cols = sorted(out.columns)
+    found = con.sql(queries.ORACLE[name])
+    assert sorted(found.columns) == cols
+    rows = sorted(tuple(r[c] for c in cols) for r in out.collect())
+    assert rows == sorted(found.project(", ".join(f'"{c}"' for c in cols)).fetchall())
