@@ -6,15 +6,18 @@ shingles with its transpose, in blocks of columns and pairs, and computes only e
 
 1. Documents with equal sets form a class; only classes are compared.
 2. Columns: with shingles in one global order, rare ones first, similar sets share a shingle among
-   their first n - ceil(t n) + 1. Only these columns generate entries. Which shingles count as
+   their first n - ceil(t n) + 1, and it is among the first n - ceil(2 t / (1 + t) n) + 1 of the
+   smaller set. Only these columns generate entries. Which shingles count as
    frequent changes the cost, never the result.
-3. Each class is first compared with one leader, the least class of all its columns' classes. That
-   links the copies of one text without meeting each other. The links' components are contracted,
-   and of each column only entries between different components are left: those of classes outside
-   its leader's component with the others.
-4. Bounds from the sizes and from the place in both sets discard entries before their sets meet.
-   For the rest, overlaps are accumulated over blocks of the sets in hash order, and a pair goes as
-   soon as what is left can't lift it over the bound.
+3. Each class is first compared with one leader, the least class of all its columns' classes, and
+   each column's classes are dealt by hash into buckets of about FEW, inside which all meet. That
+   joins the copies of one text without meeting each other: entries grow with the classes, not with
+   a group's square. The links' components are contracted, and of each column only entries between
+   different components are left: those of classes outside its leader's component with the others.
+4. Overlaps are accumulated over the leading columns first. Bounds from the sizes, from the places in
+   both sets and from that sum discard entries before their sets are read. For the rest, overlaps are
+   accumulated over blocks of the sets in hash order, and a pair goes as soon as what is left can't
+   lift it over the bound.
 
 No pair of one component is generated once it is known to be one, every other entry of the product
 is checked exactly, and nothing is capped. Shingles are told apart by 64-bit hashes.
@@ -35,11 +38,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from . import _text as T
-from ._cluster import checkpoint, components
+from ._cluster import checkpoint, components, most_frequent
 
 #: Shingles that go last in the order: at most so many, those found most often.
-FREQUENT = 1 << 17
-#: Bits of the filter that keeps sets without a candidate at home.
+FREQUENT = 1 << 20
+#: Classes of a column that meet at first.
+FEW = 16
+#: Bits of the filters that keep columns and sets without a candidate at home.
 FILTER_BITS = 1 << 24
 
 
@@ -136,74 +141,127 @@ def _own_sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.
             if not len(own):
                 continue
             fp = _fingerprint(own)
-            k = int.from_bytes(fp[4:8], "little") % FILTER_BITS
+            k = int.from_bytes(fp[:4], "little") % FILTER_BITS
             if int(bits[k >> 6]) >> (k & 63) & 1:
                 prints.append(fp)
                 sets.append(own.tobytes())
         yield pa.RecordBatch.from_pydict({"_fp": pa.array(prints, pa.binary()), "s": pa.array(sets, pa.binary())})
 
 
-def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, n_shingles, component_id), one for each row of docs, in no order."""
+def _trim(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """A row per class and leading column that, as far as the filter tells, another class has too."""
+    bits = shared.value
+    for records in batches:
+        v, n = records["v"].to_numpy(), records["n"].to_numpy()
+        lead = records["lead"].combine_chunks() if isinstance(records["lead"], pa.ChunkedArray) else records["lead"]
+        size = np.diff(lead.offsets.to_numpy())
+        g = lead.flatten().to_numpy()
+        row = np.repeat(np.arange(len(v)), size)
+        at = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+        k = (g & (FILTER_BITS - 1)).astype(np.uint64)
+        keep = np.flatnonzero(bits[k >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[keep], v[row[keep]], n[row[keep]], at[keep])], ["g", "v", "n", "at"])
+
+
+def _filter(keys: DataFrame):
+    """A broadcast set of FILTER_BITS bits, those of the keys (column k) set: bounded, however many keys there are."""
+    k = F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = keys.select(F.shiftright(k, 6).alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """Rows (id_col, n_shingles, component_id), one for each row of docs, in no order; with text_hash also xxhash64 of the text."""
     t, spark = Fraction(threshold), docs.sparkSession
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    texts = base.select("_text")
-    often = texts.mapInArrow(lambda it: _common(it, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "g").limit(FREQUENT).collect()
-    g = np.array([r["g"] for r in often], np.int64).view(np.uint64)
+    num, den = t.numerator, t.denominator
+    base = docs.select(F.col(id_col).alias("_id"), *[F.xxhash64(text_col).alias("_h")] * text_hash, F.col(text_col).alias("_text"))
+    own = base.columns[:-1]
+    texts = base.select("_text").where("length(_text) > 0")
+    often = texts.mapInArrow(lambda it: _common(it, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    often = most_frequent(checkpoint(often), "n", FREQUENT).toArrow()
+    g = often["g"].to_numpy().view(np.uint64)
     by = np.argsort(g)
-    frequent = spark.sparkContext.broadcast((g[by], len(g) - by))
+    frequent = spark.sparkContext.broadcast((g[by], often["n"].to_numpy()[by].clip(max=(1 << 31) - 1).astype(np.int32)))
 
-    schema = StructType([*base.schema.fields[:1], StructField("_n", LongType()), StructField("_fp", BinaryType()), StructField("_lead", ArrayType(LongType()))])
-    signed = checkpoint(base.select("_id", "_text").mapInArrow(lambda it: _sign(it, n, frequent, t, 1), schema))
+    schema = StructType([*base.schema.fields[:-1], StructField("_n", LongType()), StructField("_fp", BinaryType()), StructField("_lead", ArrayType(LongType()))])
+    signed = checkpoint(base.mapInArrow(lambda it: _sign(it, n, frequent, t, len(own)), schema))
     classes = signed.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("first_id"), F.first("_n").alias("n"), F.first("_lead").alias("lead"))
     classes = checkpoint(classes.withColumn("v", F.monotonically_increasing_id()))
 
-    num, den = t.numerator, t.denominator
-    entries = classes.select("v", "n", F.posexplode("lead").alias("at", "g"))
     # columns with several classes, and their least class; partial minima go before the shuffle
-    columns = entries.groupBy("g").agg(F.count("*").alias("c"), F.min("v").alias("leader")).where("c > 1").select("g", "leader")
-    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader"))
-    size_of = classes.select(F.col("v").alias("leader"), F.col("n").alias("m"))
-    led = shared.groupBy("v", "n").agg(F.min("leader").alias("leader")).where("v <> leader")
-    first = led.join(size_of, "leader").where(f"least(n, m) * {den} >= greatest(n, m) * {num}").select(F.col("v").alias("a"), F.col("leader").alias("b"))
-
-    wanted = classes.select("v", "n", "_fp").join(shared.select("v").distinct(), "v", "left_semi")
-    words = FILTER_BITS // 64
-    # four bytes of the fingerprint name the bit
-    key = F.expr("conv(concat(substr(hex(_fp), 15, 2), substr(hex(_fp), 13, 2), substr(hex(_fp), 11, 2), substr(hex(_fp), 9, 2)), 16, 10)").cast("long")
-    marks = wanted.select((key % FILTER_BITS).alias("k")).select(F.shiftright("k", 6).alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    bits = np.zeros(words, np.uint64)
-    for r in marks:
-        bits[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
-    wanted_bits = spark.sparkContext.broadcast(bits)
-    found = texts.where("length(_text) > 0").mapInArrow(lambda it: _own_sets(it, n, wanted_bits), "_fp binary, s binary")
-    sets = checkpoint(found.join(wanted, "_fp").groupBy("v").agg(F.first("s").alias("s")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    columns = classes.select("v", F.explode("lead").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("v").alias("leader")).where("c > 1")
+    columns = checkpoint(columns)
+    held = _filter(columns.select(F.col("g").alias("k")))
+    entries = classes.select("v", "n", "lead").mapInArrow(lambda it: _trim(it, held), "g long, v long, n long, at long")
+    bucket = F.pmod(F.xxhash64("v", "g"), F.ceil(F.col("c") / FEW)).cast("long")
+    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader", bucket.alias("few")))
+
+    # what two sets of these sizes must have in common, and may still have beyond their leading columns
+    need = f"ceil((n + m) * {num}L / {num + den}D - 1e-9)"
+    rest = f"ceil(greatest(n, m) * {num}L / {den}D - 1e-9) - 1"
+    alike = f"least(n, m) * {den} >= greatest(n, m) * {num}"
+    bound = f"least(aa, ba) + 1 + least(n - aa, m - ba) - 1 >= {need}"
+    # similar sets share one of the first n - ceil(2 t / (1 + t) n) + 1 columns of the smaller set
+    short = f"if(n <= m, aa <= n - ceil(n * {2 * num}L / {num + den}D - 1e-9), ba <= m - ceil(m * {2 * num}L / {num + den}D - 1e-9))"
+    can_link = f"{alike} and {short} and {bound}"
+
+    def promising(meet: DataFrame) -> DataFrame:
+        """Pairs of meet, once each, whose leading columns have enough in common."""
+        pairs = meet.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        x = classes.select(F.col("v").alias("a"), "n", F.col("lead").alias("x"))
+        y = classes.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("lead").alias("y"))
+        return checkpoint(pairs.join(x, "a").join(y, "b").where(f"size(array_intersect(x, y)) + {rest} >= {need}").select("a", "b"))
+
+    led = shared.groupBy("v", "n").agg(F.min("leader").alias("b")).where("v <> b").withColumnRenamed("v", "a")
+    led = led.join(classes.select(F.col("v").alias("b"), F.col("n").alias("m")), "b").where(alike).select("a", "b")
+    one = shared.select("g", "few", F.col("v").alias("a"), "n", F.col("at").alias("aa"))
+    two = shared.select("g", "few", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"))
+    dealt = one.join(two, ["g", "few"]).where(f"a > b and {can_link}").select("a", "b")
+    first = promising(led.union(dealt))
+
+    def with_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Sets of the classes in pairs, read from the texts again; the others' stay where they are."""
+        nodes = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+        if known is not None:
+            nodes = nodes.join(known.select("v"), "v", "left_anti")
+        wanted = checkpoint(classes.select("v", "_fp").join(nodes, "v", "left_semi"))
+        key = F.conv(F.concat(*[F.substring(F.hex("_fp"), k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
+        bits = _filter(wanted.select(key.alias("k")))
+        found = texts.mapInArrow(lambda it: _own_sets(it, n, bits), "_fp binary, s binary")
+        out = checkpoint(found.join(wanted, "_fp").groupBy("v").agg(F.first("s").alias("s")))
+        return out if known is None else known.union(out)
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         x = sets.select(F.col("v").alias("a"), F.col("s").alias("x"))
         y = sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _multiply(it, t), "a long, b long")
+        return checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _multiply(it, t), "a long, b long"))
 
-    links = checkpoint(verified(first))
+    sets = with_sets(first)
+    links = verified(first, sets)
     joined = components(links)
     placed = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").select("g", "v", "n", "at", "leader", F.coalesce("root", "v").alias("c"))
     heads = placed.where("v = leader").select("g", F.col("c").alias("lead_c"))
-    outside = placed.join(heads, "g").where("c <> lead_c")
-    some = outside.select("g", F.col("v").alias("a"), F.col("n").alias("an"), F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
-    other = placed.select("g", F.col("v").alias("b"), F.col("n").alias("bn"), F.col("at").alias("ba"), F.col("c").alias("bc"))
-    bound = f"(least(aa, ba) + 1 + least(an - aa, bn - ba) - 1) * {num + den} >= {num} * (an + bn)"
-    rest = some.join(other, "g").where(f"ac <> bc and (bc = lead_c or a < b) and least(an, bn) * {den} >= greatest(an, bn) * {num} and {bound}")
-    second = checkpoint(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    more = verified(second)
+    # a column whose classes are all joined by now has nothing to add
+    open_columns = placed.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
+    placed = checkpoint(placed.join(open_columns, "g").join(heads, "g").select("g", "v", "n", "at", "c", "lead_c"))
+    some = placed.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
+    other = placed.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
+    meet = some.join(other, "g").where(f"ac <> bc and (bc = lead_c or a < b) and {can_link}").select("a", "b")
+    second = promising(meet)
+    more = verified(second, with_sets(second, sets))
     roots = components(links.unionByName(more))
     owned = classes.select("v", "_fp", "first_id").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = owned.join(least, "root").select("_fp", "component_id")
-    return signed.select("_id", "_n", "_fp").join(of, "_fp", "left").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.expr("case when _fp is null then _id else component_id end").alias("component_id"))
+    out = signed.select(*own, "_n", "_fp").join(of, "_fp", "left")
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.expr("case when _fp is null then _id else component_id end").alias("component_id"), *[F.col(c).alias("text_hash") for c in own[1:]])
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows without those whose component holds a smaller doc_id; of rows that share the least id, all stay that have it."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_classes(docs, **options).select(F.col(id_col).alias("_id"), "component_id").where("_id <> component_id").select("_id").distinct()
-    return docs.join(found, docs[id_col] == found["_id"], "left_anti")
+    """docs' rows without those whose component holds a smaller id. Rows with a null id stay, and all rows that have the least id."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_classes(docs, **options, text_hash=True).where(f"{id_col} <> component_id")
+    gone = found.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_h"]), "left_anti")
