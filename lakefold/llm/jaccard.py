@@ -10,10 +10,11 @@ shingles with its transpose, in blocks of columns and pairs, and computes only e
    smaller set. Only these columns generate entries. Which shingles count as
    frequent changes the cost, never the result.
 3. Each class is first compared with one leader, the least class of all its columns' classes, and
-   each column's classes are dealt by hash into buckets of about FEW, inside which all meet. That
-   joins the copies of one text without meeting each other: entries grow with the classes, not with
-   a group's square. The links' components are contracted, and of each column only entries between
-   different components are left: those of classes outside its leader's component with the others.
+   each column's classes are dealt by hash into buckets of about FEW, inside which all meet, DEALS
+   times over, later only those of different components. That joins the copies of one text without
+   all meeting: entries grow with the classes, not with a group's square. At last, of each column
+   only entries between different components are left: those of classes outside its leader's
+   component with the others.
 4. Overlaps are accumulated over the leading columns first. Bounds from the sizes, from the places in
    both sets and from that sum discard entries before their sets are read. For the rest, overlaps are
    accumulated over blocks of the sets in hash order, and a pair goes as soon as what is left can't
@@ -42,8 +43,8 @@ from ._cluster import checkpoint, components, most_frequent
 
 #: Shingles that go last in the order: at most so many, those found most often.
 FREQUENT = 1 << 20
-#: Classes of a column that meet at first.
-FEW = 16
+#: Classes of a column that meet in a bucket, and the number of deals.
+FEW, DEALS = 8, 3
 #: Bits of the filters that keep columns and sets without a candidate at home.
 FILTER_BITS = 1 << 24
 
@@ -195,8 +196,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
     columns = checkpoint(columns)
     held = _filter(columns.select(F.col("g").alias("k")))
     entries = classes.select("v", "n", "lead").mapInArrow(lambda it: _trim(it, held), "g long, v long, n long, at long")
-    bucket = F.pmod(F.xxhash64("v", "g"), F.ceil(F.col("c") / FEW)).cast("long")
-    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader", bucket.alias("few")))
+    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader", F.ceil(F.col("c") / FEW).alias("buckets")))
 
     # what two sets of these sizes must have in common, and may still have beyond their leading columns
     need = f"ceil((n + m) * {num}L / {num + den}D - 1e-9)"
@@ -216,10 +216,15 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
 
     led = shared.groupBy("v", "n").agg(F.min("leader").alias("b")).where("v <> b").withColumnRenamed("v", "a")
     led = led.join(classes.select(F.col("v").alias("b"), F.col("n").alias("m")), "b").where(alike).select("a", "b")
-    one = shared.select("g", "few", F.col("v").alias("a"), "n", F.col("at").alias("aa"))
-    two = shared.select("g", "few", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"))
-    dealt = one.join(two, ["g", "few"]).where(f"a > b and {can_link}").select("a", "b")
-    first = promising(led.union(dealt))
+
+    def dealt(rows: DataFrame, deal: int, apart: str = "true") -> DataFrame:
+        """Pairs that meet in a bucket of a column; another deal has other buckets."""
+        bucket = F.pmod(F.xxhash64("v", "g", F.lit(deal)), F.col("buckets"))
+        one = rows.select("g", bucket.alias("k"), F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"))
+        two = rows.select("g", bucket.alias("k"), F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
+        return one.join(two, ["g", "k"]).where(f"a > b and {apart} and {can_link}").select("a", "b")
+
+    first = promising(led.union(dealt(shared.withColumn("c", F.col("v")), 0)))
 
     def with_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Sets of the classes in pairs, read from the texts again; the others' stay where they are."""
@@ -238,16 +243,25 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
         y = sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
         return checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _multiply(it, t), "a long, b long"))
 
+    def placed(links: DataFrame) -> DataFrame:
+        """Entries with their component so far, of the columns that hold several."""
+        joined = components(links)
+        now = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("c", F.coalesce("root", "v"))
+        open_columns = now.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
+        heads = now.where("v = leader").select("g", F.col("c").alias("lead_c"))
+        return checkpoint(now.join(open_columns, "g").join(heads, "g").select("g", "v", "n", "at", "buckets", "c", "lead_c"))
+
     sets = with_sets(first)
     links = verified(first, sets)
-    joined = components(links)
-    placed = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").select("g", "v", "n", "at", "leader", F.coalesce("root", "v").alias("c"))
-    heads = placed.where("v = leader").select("g", F.col("c").alias("lead_c"))
-    # a column whose classes are all joined by now has nothing to add
-    open_columns = placed.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
-    placed = checkpoint(placed.join(open_columns, "g").join(heads, "g").select("g", "v", "n", "at", "c", "lead_c"))
-    some = placed.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
-    other = placed.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
+    left = placed(links)
+    for deal in range(1, DEALS):
+        again = promising(dealt(left, deal, "ac <> bc"))
+        have = sets.select("v")
+        again = again.join(have.withColumnRenamed("v", "a"), "a", "left_semi").join(have.withColumnRenamed("v", "b"), "b", "left_semi")
+        links = links.unionByName(verified(again, sets))
+        left = placed(links)
+    some = left.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
+    other = left.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
     meet = some.join(other, "g").where(f"ac <> bc and (bc = lead_c or a < b) and {can_link}").select("a", "b")
     second = promising(meet)
     more = verified(second, with_sets(second, sets))
