@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -100,11 +102,33 @@ def pieces(buf: bytes, most: int = 1 << 20) -> Iterator[bytes]:
     yield buf[at:]
 
 
+#: What holds results in this worker process and can forget them.
+_HOLDERS: weakref.WeakSet = weakref.WeakSet()
+
+
+def remembered(holder) -> None:
+    _HOLDERS.add(holder)
+
+
+def forget(*but) -> None:
+    """Drop what other operators have left in a worker that Spark uses again."""
+    kept = {id(x) for x in but}
+    if any([x.forget() for x in list(_HOLDERS) if id(x) not in kept]):
+        gc.collect()
+
+
 class WordCache:
     """Encodes many repeated strings through a batch encoder, remembering the last `limit` to 2 * `limit` results."""
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 300_000):
         self.encode, self.limit, self.seen, self.old = encode, limit, {}, {}
+        remembered(self)
+
+    def forget(self) -> bool:
+        """Whether there was anything to forget."""
+        held = bool(self.seen)
+        self.seen, self.old = {}, {}
+        return held
 
     def learn(self, words) -> dict:
         """A dict with at least the results for words."""

@@ -61,6 +61,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Shingles that occur in several documents of a batch, with their number."""
+    T.forget()
     for records in batches:
         for some in T.chunks(records["_text"].to_pylist(), lambda t: len(t or ""), 8 << 20):
             found = [shingles(t, n) for t in some]
@@ -71,6 +72,7 @@ def _common(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int, frequent, t: Fraction, at: int) -> Iterator[pa.RecordBatch]:
     """Size, fingerprint and leading columns of each document's set."""
+    T.forget()
     common, rank = frequent.value
     for records in batches:
         sizes, prints, leads = [], [], []
@@ -100,6 +102,7 @@ def _fingerprint(own: np.ndarray) -> bytes:
 
 def _multiply(batches: Iterator[pa.RecordBatch], t: Fraction, block: int = 1024) -> Iterator[pa.RecordBatch]:
     """Pairs of sets (sorted hashes) whose overlap, accumulated block by block, reaches its bound."""
+    T.forget()
     for records in batches:
         a_id, b_id = records["a"].to_pylist(), records["b"].to_pylist()
         out: list[list] = [[], []]
@@ -134,6 +137,7 @@ def overlaps(x: np.ndarray, y: np.ndarray, t: Fraction, block: int = 1024) -> bo
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
+    T.forget()
     bits = wanted.value
     for records in batches:
         prints, sets = [], []

@@ -248,6 +248,7 @@ def lanes_of(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray,
 
 def _count(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task's tokens; handed on whenever it holds very many."""
+    T.forget()
     found: Counter = Counter()
 
     def out():
@@ -271,6 +272,7 @@ def _ids(words: list[bytes], index: dict, other: int) -> np.ndarray:
 
 def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Weights after the task's documents, TRAIN_TOKENS of them at a time."""
+    T.forget()
     index, counts, _, _ = model.value
     net, total, calls = Gru(counts), 0, 0
     docs = (_ids(words_of(t), index, len(counts) - 2) for records in batches for t in records["text"].to_pylist())
@@ -298,6 +300,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, weights, total: float, other_total: float) -> Iterator[pa.RecordBatch]:
+    T.forget()
     index, counts, known, known_counts = model.value
     net = Gru(counts)
     net.w = weights.value
@@ -323,6 +326,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, weights, total: float, othe
 
 def _rare(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Words outside the cache per document, and one row without a word that counts the document."""
+    T.forget()
     known = model.value[2]
     for records in batches:
         d, h, word, n = [], [], [], []

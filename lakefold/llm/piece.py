@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._text import WordCache, chunks
+from ._text import WordCache, chunks, forget, remembered
 
 SPACE, INF = "▁", float("inf")
 #: Longer chunks are encoded each time they occur.
@@ -61,6 +61,12 @@ class PieceEncoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list | None] = {}
         self.cache = WordCache(lambda some: [self.pack(c) for c in some])
+        remembered(self)
+
+    def forget(self) -> bool:
+        held = bool(self.fits)
+        self.fits, self.spines = {}, {}
+        return held
 
     def merged(self, text: str) -> list[str]:
         """Merging by definition: the best pair, of equal ones the leftmost, until none is a piece. For short texts."""
@@ -112,7 +118,7 @@ class PieceEncoder:
         """Whether token can follow before (-1: nothing)."""
         ok = self.fits.get((before, token))
         if ok is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             ok = self.fits[before, token] = self._fit(before, token)
         return ok
@@ -192,6 +198,7 @@ NEW = {"n_tokens": LongType(), "ids_sha256": StringType(), "decoded_sha256": Str
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
+    forget(enc, enc.cache)
     bos, eos = (int(x).to_bytes(4, "little") for x in (enc.bos, enc.eos))
     for records in batches:
         n, ids_hash, text_hash, texts = [], [], [], []

@@ -141,6 +141,7 @@ NEW = {"n_words": LongType(), "word_chars": LongType(), "n_symbols": LongType(),
 
 def _judge(batches: Iterator[pa.RecordBatch], piece_path: str, byte_path: str, at: int) -> Iterator[pa.RecordBatch]:
     cache = _measures(piece_path, byte_path)
+    T.forget(cache, encoder(piece_path))
     for records in batches:
         rows = []
         for text, lang in zip(records["_text"].to_pylist(), records["_lang"].to_pylist(), strict=True):

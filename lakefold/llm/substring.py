@@ -96,6 +96,7 @@ def _parts(rows: list[tuple[int, int, bytes]], window: int, most: int) -> Iterat
 
 
 def _pack(batches: Iterator[pa.RecordBatch], buckets: int, window: int, mer: int, most: int) -> Iterator[pa.RecordBatch]:
+    T.forget()
     for records in batches:
         rows = sorted(zip(records["d"].to_pylist(), records["h"].to_pylist(), (x.encode() for x in records["text"].to_pylist()), strict=True), key=lambda r: r[:2])
         for batch in _parts(rows, window, most):
@@ -179,6 +180,7 @@ def _count(blobs: list[bytes], window: int):
 
 def _sort(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by bucket; one bucket is held at a time."""
+    T.forget()
 
     def spans(bucket, blobs):
         if bucket == -1:
@@ -220,6 +222,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, mer: int = MER, batch_
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    T.forget()
     for records in batches:
         texts, spans = records["_text"].to_pylist(), records["_spans"].to_pylist()
         kept, n_words, n_removed, digest = [], [], [], []

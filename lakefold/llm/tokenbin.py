@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._text import WordCache, chunks
+from ._text import WordCache, chunks, forget
 
 #: Text that one file is meant to hold.
 FILE_BYTES = 256 << 20
@@ -71,7 +71,7 @@ def word_encoder(path: str, width: int) -> WordCache:
             return out
 
         marks = {c: x for c, x in zip(MARKS, plain(list(MARKS)), strict=True)}
-        bases = WordCache(letters, 400_000)
+        bases = WordCache(letters)
 
         def encode(words: list[bytes]) -> list[bytes]:
             texts = [w.decode() for w in words]
@@ -82,6 +82,7 @@ def word_encoder(path: str, width: int) -> WordCache:
             return [(known[k] + marks[m[2]] if m and m[2] else known[k]) if k else next(rest) for k, m in zip(keys, split, strict=True)]
 
         _ENCODERS[path, width] = WordCache(encode)
+        _ENCODERS[path, width].bases = bases
     return _ENCODERS[path, width]
 
 
@@ -98,6 +99,7 @@ def _fs(folder: str):
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     encode = word_encoder(path, width)
+    forget(encode, encode.bases)
     end = end_id.to_bytes(width, "little")
     fs, root = _fs(folder)
     part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._text import WordCache, chunks
+from ._text import WordCache, chunks, forget
 
 MAX_LABELLED = 20_000
 BUCKETS, FACTORS, MIN_DOCS = 1 << 20, 4, 10
@@ -129,6 +129,7 @@ def predict(model: dict, texts: list[str | None]) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget(_TERMS)
     for records in batches:
         ids = [term_ids(t).astype("<i4").tobytes() for t in records["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([records["y"], pa.array(ids, pa.binary())], ["y", "ids"])
@@ -152,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
+    forget(_TERMS)
     for records in batches:
         texts = records["_text"].to_pylist()
         out = np.concatenate([predict(model.value, some) for some in chunks(texts, lambda t: len(t or ""), 2 << 20)]) if texts else np.empty(0)
