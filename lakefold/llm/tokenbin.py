@@ -71,7 +71,7 @@ def word_encoder(path: str, width: int) -> WordCache:
             return out
 
         marks = {c: x for c, x in zip(MARKS, plain(list(MARKS)), strict=True)}
-        bases = WordCache(letters)
+        bases = WordCache(letters, 400_000)
 
         def encode(words: list[bytes]) -> list[bytes]:
             texts = [w.decode() for w in words]
@@ -81,7 +81,7 @@ def word_encoder(path: str, width: int) -> WordCache:
             rest = iter(plain([t for t, k in zip(texts, keys, strict=True) if not k]))
             return [(known[k] + marks[m[2]] if m and m[2] else known[k]) if k else next(rest) for k, m in zip(keys, split, strict=True)]
 
-        _ENCODERS[path, width] = WordCache(encode)
+        _ENCODERS[path, width] = WordCache(encode, 500_000)
         _ENCODERS[path, width].bases = bases
     return _ENCODERS[path, width]
 
