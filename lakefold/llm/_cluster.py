@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -51,16 +53,43 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else step >= least)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: So many edges or fewer are joined in one task, which holds them; more go through rounds of shuffles.
+FEW_EDGES = 500_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for records in batches:
+        for a, b in zip(records["a"].to_pylist(), records["b"].to_pylist(), strict=True):
+            x, y = root(a) if parent.setdefault(a, a) != a else a, root(b) if parent.setdefault(b, b) != b else b
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for k in range(0, len(nodes), 50_000):
+        some = nodes[k : k + 50_000]
+        yield pa.RecordBatch.from_pydict({"node": some, "root": [root(x) for x in some]})
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the set of edges stays the same. Minima are
+    Up to `few` edges, a bound that is checked, are joined by one task. More alternate the large-star
+    and small-star steps until the set of edges stays the same. Minima are
     combined before each shuffle and hot nodes are joined, not gathered, so no task holds a node's
     neighbours. Loops and repeated edges are allowed, rows with a null end are ignored, and an empty
     input gives an empty result. Nodes without an edge to another node do not appear.
     """
     now = checkpoint(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
+    if state[0] <= few:
+        kind = now.schema["a"].dataType.simpleString()
+        return checkpoint(now.coalesce(1).mapInArrow(_union, f"node {kind}, root {kind}"))
     for _ in range(rounds):
         if not state[0]:
             break

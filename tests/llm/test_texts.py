@@ -281,8 +281,9 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: root(x) for x in parent}
+    for few in (0, 10_000):
+        found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert found == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
