@@ -7,18 +7,21 @@ that occur twice or more (n_repeat_words). A text fails with fewer than 20 words
 
 The method's verdict measures how two public vocabularies, a byte-level and a piece vocabulary with
 byte fallback, see the text: characters per token of each, the share of byte-fallback tokens, and
-the entropy of the piece tokens against what that many tokens can reach. Text of a language the
-vocabularies know falls in a wide band; random bytes, broken encodings, symbol noise and texts made
-of a few words fall outside it. Bands are by script, the one of most letters, with narrower ones for
-languages given by name. A text passes if every measure is in its band.
+the entropy of the piece tokens against what that many tokens can reach. Bands are by script, the one
+of most letters; these are wide, and random bytes, broken encodings and texts made of a few words fall
+outside. Languages given by name also have least values measured on clean text: what symbols stuck to
+words, tables or random letters do to a text's tokens is far more than clean texts of its length
+differ by. A text passes if every measure is in its band.
 
 Null, empty and wordless texts have zero counts and fail. Null or unknown languages use the script's
-band. Words are remembered per worker process, so the cost is per distinct word.
+band. Text without letters is judged by its language's band, else as Latin. Words are remembered per
+worker process, so the cost is per distinct word.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -42,8 +45,17 @@ BANDS = {
     "CJK": (0.3, 4.0, 0.3, 0.60, 0.30),
     "OTHER": (0.2, 8.0, 0.2, 0.90, 0.30),
 }
-#: Languages the vocabularies know well.
-LANGUAGES = {"en": (1.4, 8.0, 1.1, 0.08, 0.35)}
+#: Per language of Latin script: mean and spread, over single tokens, of characters per piece token and per byte-level
+#: token; entropy share as a line in log2 of the tokens, and its spread; mean and spread of the first measure over the
+#: second. From the texts of sf0.1 labelled as of good quality.
+LANGUAGES = {
+    "en": (2.218, 0.89, 2.244, 0.91, 1.199, -0.0523, 0.0099, 0.989, 0.25),
+    "de": (2.241, 0.96, 2.038, 0.86, 1.204, -0.0545, 0.0099, 1.100, 0.39),
+    "fr": (1.981, 0.97, 1.849, 0.96, 1.191, -0.0537, 0.0109, 1.071, 0.36),
+    "es": (1.941, 0.97, 1.770, 0.84, 1.180, -0.0516, 0.0133, 1.097, 0.36),
+}
+#: Spreads below the mean at which a language's band ends, and the most byte fallback there.
+SPREADS, LANGUAGE_FALLBACK = 3.5, 0.08
 SCRIPTS = {"LATIN": "LATIN", "CYRILLIC": "CYRILLIC", "GREEK": "GREEK", "CJK": "CJK", "HIRAGANA": "CJK", "KATAKANA": "CJK", "HANGUL": "CJK"}
 
 _CACHES: dict[tuple, T.WordCache] = {}
@@ -84,6 +96,12 @@ def script_of(text: str) -> str:
     return max(sorted(found), key=found.get) if found else "OTHER"
 
 
+def letters_of(text: str) -> str:
+    """The text's script, or "" if it has no letter."""
+    script = script_of(text)
+    return script if script != "OTHER" or any(map(str.isalpha, text)) else ""
+
+
 def repeated_words(buf: bytes, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> int:
     """Words in windows that occur twice or more in the text."""
     runs = T.hash_runs(T.hash_words(buf, starts, ends), window)
@@ -131,8 +149,21 @@ def fertility(text: str, words: list[bytes], cache: T.WordCache) -> tuple[float,
     return chars / len(ids), chars / max(1, sum(x[1] for x in found)), float(((ids >= 3) & (ids < 259)).mean()), entropy
 
 
-def in_band(values: tuple[float, float, float, float], lang: str | None, script: str) -> bool:
-    least, most, least_bytes, fallback, entropy = LANGUAGES.get(lang or "", BANDS[script]) if script == "LATIN" else BANDS[script]
+def in_band(values: tuple[float, float, float, float], lang: str | None, script: str, tokens: float = 4096) -> bool:
+    """Whether measures of a text of so many piece tokens pass; script "" is text without letters."""
+    least, most, least_bytes, fallback, entropy = BANDS[script or "LATIN"]
+    if script in ("LATIN", "") and lang in LANGUAGES:
+        piece, piece_spread, own, own_spread, start, slope, entropy_spread, ratio, ratio_spread = LANGUAGES[lang]
+        root, usual = math.sqrt(max(1, tokens)), start + slope * math.log2(max(1, tokens))
+        wide = SPREADS / root
+        # entropy and the vocabularies' ratio fall together where the same few symbols stand between words; text of
+        # longer tokens than the measured ones is another kind, with another ratio
+        both = (values[3] - usual) / entropy_spread + (values[0] / max(values[1], 1e-9) - ratio) * root / ratio_spread
+        if both < -SPREADS * math.sqrt(2) and values[0] <= piece + wide * piece_spread:
+            return False
+        least, least_bytes = max(least, piece - wide * piece_spread), max(least_bytes, own - wide * own_spread)
+        fallback = LANGUAGE_FALLBACK
+        entropy = max(entropy, usual - SPREADS * entropy_spread)
     return least <= values[0] <= most and least_bytes <= values[1] and values[2] <= fallback and values[3] >= entropy
 
 
@@ -149,7 +180,7 @@ def _judge(batches: Iterator[pa.RecordBatch], piece_path: str, byte_path: str, a
             counts = base_counts(text)
             failed = counts[0] < LEAST_WORDS or 100 * counts[4] > MOST_REPEATED * counts[0]
             values = fertility(text, text.encode().split(), cache)
-            kept = not failed and in_band(values, lang, script_of(text))
+            kept = not failed and in_band(values, lang, letters_of(text), counts[1] / values[0])
             rows.append((*counts, failed, kept, *values))
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 4
         new = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -162,6 +163,24 @@ def test_quality_bands():
     assert quality.script_of("Привет мир") == "CYRILLIC" and quality.script_of("") == "OTHER"
 
 
+def test_quality_rejects_junk_and_keeps_clean_text(spark):
+    sf = "/root/testdata/sf0.01"
+    labelled = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    found = [r for r in quality.judge(labelled, PIECE, BYTE).collect() if not r["base_failed"]]
+    low, clean = ([r["kept"] for r in found if r["quality"] == k] for k in (0, 1))
+    assert np.mean(low) < 0.1 and np.mean(clean) > 0.97
+
+    rnd = random.Random(5)
+    texts = {lang: max((r["text"] for r in found if r["quality"] == 1 and r["lang"] == lang and r["kept"]), key=len).split()[:600] for lang in ("en", "de", "fr", "es")}
+    stuck = lambda w: " ".join(x + rnd.choice(["###", "***", "$$$", "%%%"]) for x in w)
+    letters = lambda w: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in w)
+    signs = lambda w: " ".join("".join(rnd.choice("#*$%&+=~^0123456789") for _ in range(6)) for _ in w)
+    rows = [(kind, lang, make(w)) for lang, w in texts.items() for kind, make in (("clean", " ".join), ("stuck", stuck), ("table", " | ".join), ("letters", letters), ("signs", signs))]
+    out = quality.judge(spark.createDataFrame(rows, "kind string, lang string, text string"), PIECE, BYTE).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert {(r["kind"], r["lang"]) for r in out if r["kept"]} == {("clean", lang) for lang in texts}
+
+
 def test_packing_invariants(docs, rows, no_docs):
     sizes = (16, 64, 256)
     out = packing.pack(docs.withColumn("copy", F.col("text")), capacities=sizes, group_rows=40).collect()
