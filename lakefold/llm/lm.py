@@ -9,9 +9,9 @@ is truncated backpropagation: windows of STEPS tokens whose gradient stays insid
 on to the next window, in lanes that hold one document after another. Scoring carries the state
 through the whole document likewise, so a score is that of the complete text, however long.
 
-Counts are exact over all training documents. A fixed share (1 in SHARE, by hash) of the training
-documents also trains the network, in one task for each TRAINER_TOKENS tokens. Each trains a copy from
-the same start on its part, as a stream; the copies are averaged in two levels. So what training reads,
+Counts are exact over all training documents, and all of them train the network, in one task for each
+TRAINER_TOKENS tokens. Each trains a copy from the same start on its part, as a stream; the copies are
+averaged in two levels. So what training reads,
 and how many tasks read it, grows with the input. A part of less than TRAIN_TOKENS tokens is read
 several times, up to LEAST_UPDATES updates.
 The CACHE most frequent words are sent to the tasks with their counts; all others are joined.
@@ -36,8 +36,8 @@ from . import _text as T
 from ._cluster import checkpoint, most_frequent
 
 VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 1000, 32, 24, 32, 64, 4e-3, 3
-#: One in SHARE training documents trains the network, in a task for each TRAINER_TOKENS tokens, TRAIN_TOKENS at a time.
-SHARE, TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 8, 2_500_000, 400_000, 100
+#: The training documents train the network in a task for each TRAINER_TOKENS tokens, TRAIN_TOKENS at a time.
+TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 2_500_000, 400_000, 100
 CACHE, SCORE_LANES = 100_000, 512
 #: The end's spelling: no word holds white space.
 END = b"\n"
@@ -285,6 +285,11 @@ def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"n": [total], "w": [net.dump()]})
 
 
+def _copies(training: DataFrame, trainers: int, model) -> DataFrame:
+    """Each trainer's tokens and weights; together they read every row of training."""
+    return training.select("text", "d", "h").repartition(trainers, "d", "h").sortWithinPartitions("d", "h").select("text").mapInArrow(lambda it: _train(it, model), "n long, w binary")
+
+
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row with the mean of the weights, each counted by its tokens."""
     total, held = 0, None
@@ -363,9 +368,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     other_total = others + 0.1 * (max(0, v - len(vocabulary) - (ends > 0)) + 1)
     model = spark.sparkContext.broadcast((index, sizes, known, known_counts))
 
-    part = training.where(F.pmod(F.xxhash64("d", "h", F.lit("train")), F.lit(SHARE)) == 0).select("text", "d", "h")
-    trainers = max(1, n // SHARE // TRAINER_TOKENS)
-    copies = part.repartition(trainers, "d", "h").sortWithinPartitions("d", "h").select("text").mapInArrow(lambda it: _train(it, model), "n long, w binary")
+    trainers = max(1, n // TRAINER_TOKENS)
+    copies = _copies(training, trainers, model)
     # averaged in two levels: the driver gets a root of the number of copies
     groups = math.isqrt(trainers - 1) + 1
     trained = checkpoint(copies).repartition(groups).mapInArrow(_average, "n long, w binary").collect()

@@ -262,6 +262,22 @@ def test_language_model(spark, docs, rows, no_docs):
     assert lm.score_documents(no_docs, learn).count() == 0
 
 
+def test_language_model_trains_on_every_row(spark, docs, rows, monkeypatch):
+    seen = []
+    average = lm._average
+
+    def spy(batches):
+        batches = list(batches)
+        seen.extend(n for b in batches for n in b["n"].to_pylist())
+        return average(iter(batches))
+
+    monkeypatch.setattr(lm, "_average", spy)
+    some = docs.where("length(text) < 5000 or text is null")
+    out = lm.score_documents(some, F.expr("coalesce(doc_id, 0) % 4 <> 0")).first()
+    expected = sum(len(words(t)) + 1 for d, t, *_ in rows if (d or 0) % 4 and len(t or "") < 5000)
+    assert sum(seen) == expected == out["train_tokens"]
+
+
 def test_network_gradients_and_windows():
     rnd = np.random.default_rng(0)
     net = lm.Gru(np.array([9, 8, 5, 4, 3, 2, 2, 1, 3.0]), hidden=4, classes=3)
