@@ -5,8 +5,10 @@ A document longer than the longest is cut into parts of that length and a rest,
 packed once. Items come by falling length. Each goes where it leaves the least room among the open
 bins (best fit). If none has room, a bin opens, of the size whose cost per token that it can still
 get is least: a bin of C positions costs C + C * C / ATTENTION, the second part standing for
-attention, and what it can get is its size or, near the end, the item and all that is left. At last
-each bin shrinks to the least permitted length that holds its contents.
+attention. What it can get is found by filling each size from the lengths to come that no open bin
+counts on, at the cost of the size it would shrink to; the bin then counts on these. Of
+sizes that cost the same the largest opens, with room for what no bin counted on. At last each bin
+shrinks to the least permitted length that holds its contents.
 
 Rows are dealt round-robin to groups that are packed on their own, of at most GROUP_ITEMS items:
 repeated rows and frequent ids spread evenly, and a group of that size leaves less than a bin of each
@@ -18,6 +20,7 @@ Null and empty texts are an end alone, one token. Rows may repeat, also in id; e
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,34 @@ def cost(capacity: int) -> float:
     return capacity + capacity * capacity / ATTENTION
 
 
+class _Supply:
+    """Lengths to come that no open bin counts on."""
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        self.count = np.bincount(lengths, minlength=most + 1).tolist()
+        self.lower = list(range(most + 1))
+
+    def below(self, n: int) -> int:
+        """The greatest length up to n of which some are left, or 0."""
+        at = n
+        while at and not self.count[at]:
+            self.lower[at] = min(self.lower[at], at - 1)
+            at = self.lower[at]
+        while n > at:
+            self.lower[n], n = at, self.lower[n]
+        return at
+
+    def fill(self, n: int, size: int) -> tuple[int, list[tuple[int, int]]]:
+        """What a bin of that size gets after an item of n, longest first: its contents, and lengths with how many."""
+        room, found, at = size - n, [], n
+        while room and (at := self.below(min(at, room))):
+            k = min(self.count[at], room // at)
+            found.append((at, k))
+            room -= k * at
+            at -= 1
+        return size - room, found
+
+
 def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For items no longer than the largest capacity: each one's bin and offset, and each bin's capacity and contents."""
     sizes = sorted(capacities)
@@ -45,21 +76,26 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES) -> t
     some = np.zeros(most + 1, bool)
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     opened, held = [], []
-    left = int(lengths.sum())
+    supply = _Supply(lengths, most)
+    rest = supply.count.copy()
     for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
+        rest[n] -= 1
+        supply.count[n] = min(supply.count[n], rest[n])
         room = n + int(some[n:].argmax())
         if some[room]:
             k = free[room].pop()
             some[room] = bool(free[room])
         else:
-            room = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / min(c, left), c))
+            filled = [(c, *supply.fill(n, c)) for c in sizes if c >= n]
+            room, _, taken = min(filled, key=lambda f: (cost(sizes[bisect_left(sizes, f[1])]) / f[1], -f[0]))
+            for length, count in taken:
+                supply.count[length] -= count
             k = len(opened)
             opened.append(room)
             held.append(0)
         bins[i], offsets[i] = k, held[k]
         held[k] += n
-        left -= n
         if room > n:
             free[room - n].append(k)
             some[room - n] = True

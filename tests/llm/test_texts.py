@@ -222,6 +222,17 @@ def test_best_fit_by_brute_force():
     assert (held <= capacity).all() and lengths.sum() >= 0.9 * capacity.sum()
 
 
+def test_best_fit_opens_larger_bins_for_uniform_lengths():
+    lengths = np.random.default_rng(6).integers(129, 257, 1003)
+    bins, offsets, capacity, held = packing.best_fit(lengths)
+    assert np.array_equal(np.bincount(bins, lengths), held) and (held <= capacity).all()
+    assert capacity.max() > 256 and held.sum() >= 0.9 * capacity.sum()
+    # a bin opened for all that is left shrinks to what it holds
+    few, _, small, inside = packing.best_fit(np.array([200] * 13 + [150] * 6))
+    assert np.array_equal(np.bincount(few, [200] * 13 + [150] * 6), inside) and sum(map(packing.cost, small.tolist())) / inside.sum() < 1.5
+    assert packing.best_fit(np.full(3, 300))[2].tolist() == [1024]
+
+
 def test_factorisation_machine_learns_pairs(spark, docs, no_docs):
     rnd = np.random.default_rng(4)
     filler = [f"word{k}" for k in range(50)]
