@@ -127,6 +127,17 @@ def test_search_and_excerpts(spark):
     assert value(spark, T.snippet(F.lit("a b c d e f g"), ["e", "f"], 3)) == "...d [e] [f]..."
 
 
+def test_fts_snippet_marks_whole_texts(spark, tmp_path):
+    import re
+
+    from lakefold.plans import catalog
+
+    rows = [(1, "x " * 40 + "the end. The other, then THE"), (2, "the" + " y" * 50 + " the"), (3, "none " * 30), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["marked"] for r in catalog.QUERIES["fts_snippet"](spark, str(tmp_path)).collect()}
+    assert found == {d: re.sub(r"(?i)\b(the)\b", r"[\1]", t) for d, t in rows}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"say ""hi"""\n2,\n')
     assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "a.csv"), {"x": "INTEGER", "y": "TEXT"}).collect()] == [(1, 'say "hi"'), (2, None)]
