@@ -34,15 +34,15 @@ def _keep(df: DataFrame):
 
 
 def closure(edges: DataFrame, roots: DataFrame, source: str, target: str, most_depth: int = 1000) -> DataFrame:
-    """Rows (root, id, depth): what is reached from each root, with the least number of edges; roots at depth 0."""
+    """Rows (root, id, depth): what is reached from each root, with the least number of edges; roots at depth 0. Fails if there is more beyond most_depth."""
     keep = _keep(edges)
     links = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
     start = roots.toDF("root")
     found = new = keep(start.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
-    for depth in range(1, most_depth + 1):
+    for depth in range(1, most_depth + 2):
         step = new.join(links, new["id"] == links["_s"]).select("root", F.col("_t").alias("id")).distinct()
         new = keep(step.join(found.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            break
+            return found
         found = keep(found.union(new))
-    return found
+    raise RuntimeError(f"no end after {most_depth} edges")

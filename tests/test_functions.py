@@ -92,6 +92,14 @@ def test_recursion_ends_on_cycles(spark):
     assert {(r["id"], r["depth"]) for r in found} == {(1, 0), (2, 1), (3, 2)}
 
 
+def test_closure_says_when_it_is_not_whole(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(4)], "s int, t int")
+    roots = spark.createDataFrame([(0,)], "id int")
+    assert {r["id"] for r in recursion.closure(chain, roots, "s", "t", 4).collect()} == set(range(5))
+    with pytest.raises(RuntimeError):
+        recursion.closure(chain, roots, "s", "t", 3)
+
+
 def test_asof_join_by_brute_force(spark):
     left = [(k % 3, k * 7 % 50, k) for k in range(60)]
     right = [(k % 3, k * 11 % 50, k) for k in range(40)]
