@@ -11,6 +11,7 @@ from lakefold.functions import datetimes as D, json as J, math as M, strings as
 from lakefold.operators import aggregates as A, recursion, relational as R, text as T, tvf
 from lakefold.sources import tables
 from lakefold.streaming import events as E
+from tables_dir import DATA
 
 
 def value(spark, column):
@@ -160,8 +161,6 @@ def test_files(spark, tmp_path):
 
 
 def test_stream_matches_batch(spark, tmp_path):
-    from conftest import DATA
-
     events = spark.read.parquet(f"{DATA}/events.parquet")
     events.orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(str(tmp_path / "in"))
     stream = E.tumbling(E.read_events(spark, str(tmp_path / "in"), 10))

@@ -7,9 +7,9 @@ import datetime
 import duckdb
 import pytest
 
-from conftest import DATA
 from lakefold.plans import catalog
 from lakefold.sources.tables import TABLES
+from tables_dir import DATA
 
 
 @pytest.fixture(scope="module")
