@@ -112,7 +112,11 @@ def char(*codes: Column) -> Column:
 
 
 def soundex(x: Column) -> Column:
-    return F.when(x.rlike("[A-Za-z]"), F.soundex(F.regexp_replace(x, "[^A-Za-z]", ""))).otherwise(F.when(x.isNotNull(), F.lit("?000")))
+    """First letter and three digits; letters without a digit and other characters part equal digits. ?000 without letters."""
+    word = F.regexp_replace(x, "^[^A-Za-z]+", "")
+    codes = F.translate(F.upper(F.regexp_replace(word, "[^A-Za-z]", "0")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01230120022455012623010202")
+    rest = F.regexp_replace(F.regexp_replace(codes, r"(\d)\1+", "$1"), "^.|0", "")
+    return F.when(word == "", F.lit("?000")).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.rpad(F.substring(rest, 1, 3), 3, "0")))
 
 
 def typeof(x: Column, kind: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def total(x: Column) -> Column:
@@ -35,11 +35,23 @@ def percentile_cont(x: Column, f: float) -> Column:
 
 
 def percentile_disc(x: Column, f: float) -> Column:
-    """The value at floor(f * (n - 1)) of the sorted ones: never one between two."""
+    """The value at floor(f * (n - 1)) of the sorted ones: never one between two. It holds a group's values; percentile_disc_by does not."""
     n = F.count(x)
     return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.lit(f) * (n - 1)) + 1).cast("int"))
 
 
+def percentile_disc_by(df: DataFrame, by: list[str], x: Column, f: float, name: str) -> DataFrame:
+    """Rows (by, name) with percentile_disc of x per group, for groups of any size; null for a group without values.
+
+    Equal values are counted before the shuffle; then counts run up in order of the values, which spills.
+    """
+    counts = df.select(*by, x.alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_c"))
+    w = Window.partitionBy(*by).orderBy(F.col("_x").asc_nulls_first())
+    up = counts.withColumn("_up", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    place = F.floor(F.lit(f) * (F.col("_n") - 1))
+    return up.groupBy(*by).agg(F.min(F.when(F.col("_up") > place, F.col("_x"))).alias(name))
+
+
 def first_by(x: Column, key: Column) -> Column:
     """x of the row with the least key: a bare column beside min(key)."""
     return F.min_by(x, key)

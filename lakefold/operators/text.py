@@ -1,43 +1,71 @@
 """Full-text search over postings: terms, boolean, phrase and NEAR queries, ranking and excerpts.
 
-A postings table has rows (id, term, pos). Queries are plans over it: set operations on ids, joins on
-shifted positions. Nothing loops over documents.
+A postings table has rows (id, col, pos, term). Queries are plans over it: set operations on ids, and
+groups of shifted positions. Nothing loops over documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
-def tokens(text: Column, kind: str = "unicode") -> Column:
-    """Array of terms: simple (ASCII letters and digits), unicode (letters and digits, diacritics dropped), porter (unicode, stemmed), trigram."""
+def tokens(text: Column, kind: str = "unicode", tokenchars: str = "", separators: str = "") -> Column:
+    """Array of terms: simple (ASCII letters and digits), unicode (letters and digits, diacritics dropped), porter (unicode, stemmed), trigram.
+
+    tokenchars also belong to words, separators never do (unicode and porter). Null for null.
+    """
     if kind == "simple":
         return F.filter(F.split(F.lower(text), r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda t: t != "")
     if kind == "trigram":
         low = F.lower(text)
-        return F.when(F.char_length(low) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
-    return {"unicode": _plain, "porter": _stemmed}[kind](words)
+        return F.when(F.char_length(low) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).when(text.isNotNull(), F.array().cast("array<string>"))
+    inside = r"\p{L}\p{N}\p{M}" + _class(tokenchars)
+    gap = f"[^{inside}]+" + (f"|[{_class(separators)}]+" if separators else "")
+    base, plain = _bases()
+    # letters with marks become their base letters, marks of their own go: all in the JVM
+    low = F.regexp_replace(F.translate(F.lower(text), base, plain), r"\p{Mn}", "")
+    words = F.filter(F.split(low, gap), lambda t: t != "")
+    return {"unicode": lambda w: w, "porter": _stemmed}[kind](words)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _plain(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else [fold(t) for t in x])
+def _class(chars: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+
+
+@lru_cache
+def _bases() -> tuple[str, str]:
+    """Characters that are a letter with marks, and these letters."""
+    pairs = [(c, d[0]) for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _stemmed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else [stem(fold(t)) for t in x])
+    return s.map(lambda x: None if x is None else [stem(t) for t in x])
+
+
+def terms_of(text: str, kind: str = "unicode", tokenchars: str = "", separators: str = "") -> list[str]:
+    """The terms of a query's text, as tokens() makes them."""
+    low = text.lower()
+    if kind == "simple":
+        return re.findall(r"[a-z0-9\x80-\U0010ffff]+", low)
+    if kind == "trigram":
+        return [low[k : k + 3] for k in range(len(low) - 2)]
+    words = "".join(c if c not in separators and (unicodedata.category(c)[0] in "LNM" or c in tokenchars) else " " for c in low).split(" ")
+    words = [w for w in map(fold, words) if w]
+    return [stem(w) for w in words] if kind == "porter" else words
 
 
 def fold(word: str) -> str:
     """Without diacritics."""
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    base, plain = _bases()
+    return word if word.isascii() else "".join(c for c in word.translate(str.maketrans(base, plain)) if unicodedata.category(c) != "Mn")
 
 
 def _measure(w: str) -> int:
@@ -56,7 +84,7 @@ def _cvc(w: str) -> bool:
 
 
 # Fixed values of the published stemming algorithm: suffixes and what they become.
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
@@ -96,8 +124,21 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
-def postings(df: DataFrame, id_col: str, text_col: str, kind: str = "unicode") -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), kind)).alias("pos", "term"))
+def postings(df: DataFrame, id_col: str, text_cols: str | list[str], kind: str = "unicode", only: list[str] | None = None, **options) -> DataFrame:
+    """Rows (id, col, pos, term); col numbers the text columns from 0.
+
+    `only` keeps the terms that a query needs (a last * means all that start so), before they are exploded:
+    a query over a large table reads its texts but shuffles its own words. Ids repeated across rows are one document.
+    """
+    cols = [text_cols] if isinstance(text_cols, str) else text_cols
+    out = []
+    for k, c in enumerate(cols):
+        rows = F.transform(tokens(F.col(c), kind, **options), lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+        if only is not None:
+            whole, starts = [t for t in only if not t.endswith("*")], [t[:-1] for t in only if t.endswith("*")]
+            rows = F.filter(rows, lambda r: reduce(lambda a, b: a | b, [r["term"].startswith(t) for t in starts], r["term"].isin(whole)))  # noqa: B023
+        out.append(df.select(F.col(id_col).alias("id"), F.lit(k).alias("col"), F.explode(rows).alias("t")).select("id", "col", "t.pos", "t.term"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def term(post: DataFrame, word: str) -> DataFrame:
@@ -108,85 +149,207 @@ def prefix(post: DataFrame, start: str) -> DataFrame:
     return post.where(F.col("term").startswith(start)).select("id").distinct()
 
 
-def phrase(post: DataFrame, words: list[str]) -> DataFrame:
+def phrase(post: DataFrame, words: list[str], last_is_prefix: bool = False) -> DataFrame:
     """Ids with the words at consecutive positions: one pass over the words' postings, grouped by (id, pos - offset)."""
-    return _phrase_at(post, words).select("id").distinct()
+    return _phrase_at(post, words, last_is_prefix).select("id").distinct()
 
 
-def _phrase_at(post: DataFrame, words: list[str]) -> DataFrame:
+def _phrase_at(post: DataFrame, words: list[str], last_is_prefix: bool = False) -> DataFrame:
+    """Where the words stand one after another: (id, col, pos). No words stand nowhere."""
+    if not words:
+        return post.where("false").select("id", "col", "pos")
+    if last_is_prefix:
+        post = post.withColumn("term", F.when(F.col("term").startswith(words[-1]) & ~F.col("term").isin(words[:-1]), words[-1]).otherwise(F.col("term")))
+    if len(words) == 1:
+        return post.where(F.col("term") == words[0]).select("id", "col", "pos")
     places = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for k, w in enumerate(words)])
-    hits = post.where(F.col("term").isin(words)).select("id", "pos", F.explode(F.filter(places, lambda p: p["w"] == F.col("term"))).alias("p"))
-    return hits.groupBy("id", (F.col("pos") - F.col("p.k")).alias("pos")).agg(F.countDistinct("p.k").alias("n")).where(F.col("n") == len(words)).select("id", "pos")
-
-
-def near(post: DataFrame, a: str, b: str, distance: int = 10) -> DataFrame:
-    """Ids with a and b at most `distance` other terms apart: each occurrence looks at its nearest neighbours only."""
-    hits = post.where(F.col("term").isin(a, b))
-    w = Window.partitionBy("id").orderBy("pos")
-    hits = hits.select("id", "term", "pos", F.last(F.when(F.col("term") == a, F.col("pos")), True).over(w).alias("pa"), F.last(F.when(F.col("term") == b, F.col("pos")), True).over(w).alias("pb"))
-    return hits.where((F.abs(F.col("pa") - F.col("pb")) - 1).between(0, distance)).select("id").distinct()
-
-
-def search(post: DataFrame, query: str) -> DataFrame:
-    """Ids that match a query: word, prefix*, "a phrase", NEAR(a b, n), AND, OR, NOT, parentheses; words side by side mean AND."""
-    found, rest = _or(post, re.findall(r'NEAR\([^)]*\)|"[^"]*"|[()]|[^\s()"]+', query))
-    if rest:
-        raise ValueError(f"can't read the query from {rest[0]!r}")
-    return found
-
-
-def _or(post, parts):
-    left, parts = _and(post, parts)
-    while parts and parts[0] == "OR":
-        right, parts = _and(post, parts[1:])
-        left = left.union(right).distinct()
-    return left, parts
-
-
-def _and(post, parts):
-    left, parts = _atom(post, parts)
-    while parts and parts[0] not in ("OR", ")"):
-        how = "left_semi"
-        if parts[0] in ("AND", "NOT"):
-            how = "left_anti" if parts[0] == "NOT" else how
-            parts = parts[1:]
-        right, parts = _atom(post, parts)
-        left = left.join(right, "id", how)
-    return left, parts
-
-
-def _atom(post, parts):
-    if not parts:
-        raise ValueError("the query ends too early")
-    head, rest = parts[0], parts[1:]
-    if head == "(":
-        found, rest = _or(post, rest)
-        return found, rest[1:]
-    if head.startswith("NEAR("):
-        words, _, n = head[5:-1].partition(",")
-        a, b = words.split()
-        return near(post, a, b, int(n or 10)), rest
-    if head.startswith('"'):
-        return phrase(post, head[1:-1].lower().split()), rest
-    return (prefix(post, head[:-1].lower()) if head.endswith("*") else term(post, head.lower())), rest
-
-
-def bm25(post: DataFrame, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Rows (id, score) of documents with any of the words; the best have the least (most negative) score."""
-    lengths = post.groupBy("id").agg(F.count("*").alias("len"))
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg"))
-    tf = post.where(F.col("term").isin(words)).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # df has a row per query word, stats has one row
-    rows = tf.join(F.broadcast(df), "term").join(lengths, "id").crossJoin(F.broadcast(stats))
-    idf = F.greatest(F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return rows.groupBy("id").agg((-F.sum(part)).alias("score"))
-
-
-def vocabulary(post: DataFrame) -> DataFrame:
-    """Rows (term, doc, cnt)."""
-    return post.groupBy("term").agg(F.countDistinct("id").alias("doc"), F.count("*").alias("cnt"))
+    hits = post.where(F.col("term").isin(words)).select("id", "col", "pos", F.explode(F.filter(places, lambda p: p["w"] == F.col("term"))).alias("p"))
+    return hits.groupBy("id", "col", (F.col("pos") - F.col("p.k")).alias("pos")).agg(F.countDistinct("p.k").alias("n")).where(F.col("n") == len(words)).select("id", "col", "pos")
+
+
+def near(post: DataFrame, phrases: list[list[str]], distance: int = 10) -> DataFrame:
+    """Ids with all phrases in one column, at most `distance` terms between the end of the first and the start of the last.
+
+    Each occurrence looks back at the last one of each phrase, so nothing is paired.
+    """
+    every = list(dict.fromkeys(map(tuple, phrases)))
+    hits = reduce(DataFrame.unionByName, [_phrase_at(post, list(p)).withColumn("p", F.lit(k)) for k, p in enumerate(every)])
+    w = Window.partitionBy("id", "col").orderBy("pos", "p")
+    back = [F.last(F.when(F.col("p") == k, F.struct("pos", (F.col("pos") + len(p)).alias("end"))), True).over(w) for k, p in enumerate(every)]
+    hits = hits.select("id", "pos", *[b.alias(f"b{k}") for k, b in enumerate(back)])
+    whole = reduce(lambda a, b: a & b, [F.col(f"b{k}").isNotNull() for k in range(len(every))])
+    first = F.least(*[F.col(f"b{k}") for k in range(len(every))]) if len(every) > 1 else F.col("b0")
+    return hits.where(whole & (F.col("pos") - first["end"] <= distance)).select("id").distinct()
+
+
+_QUERY = re.compile(r'NEAR\((?:"[^"]*"|[^)"])*\)|"[^"]*"|[()+:{}^]|-(?=\s*[\w{])|[^\s()":{}+^]+')
+
+
+class _Question:
+    """A query over one postings table: word, prefix*, "a phrase", a + b, col: and {c d}: filters, NEAR(a "b c", n), AND, OR, NOT, parentheses."""
+
+    def __init__(self, text: str, kind: str, columns: list[str], **options):
+        self.parts, self.at, self.kind, self.columns, self.options, self.words = _QUERY.findall(text), 0, kind, columns, options, []
+        self.plan = self.either()
+        if self.at < len(self.parts):
+            raise ValueError(f"can't read the query from {self.parts[self.at]!r}")
+
+    def see(self) -> str:
+        return self.parts[self.at] if self.at < len(self.parts) else ""
+
+    def take(self) -> str:
+        self.at += 1
+        return self.parts[self.at - 1] if self.at <= len(self.parts) else ""
+
+    # OR binds least, then AND, then NOT, then words side by side
+    def either(self):
+        out = self.both()
+        while self.see() == "OR":
+            self.take()
+            out = (lambda a, b: lambda post: a(post).union(b(post)).distinct())(out, self.both())
+        return out
+
+    def both(self):
+        out = self.unless()
+        while self.see() == "AND":
+            self.take()
+            out = self.joined(out, self.unless(), "left_semi")
+        return out
+
+    def unless(self):
+        out = self.beside()
+        while self.see() == "NOT":
+            self.take()
+            out = self.joined(out, self.beside(), "left_anti")
+        return out
+
+    def beside(self):
+        out = self.atom()
+        while self.see() not in ("", "OR", "AND", "NOT", ")"):
+            out = self.joined(out, self.atom(), "left_semi")
+        return out
+
+    @staticmethod
+    def joined(a, b, how: str):
+        return lambda post: a(post).join(b(post), "id", how)
+
+    def of(self, text: str) -> list[str]:
+        return terms_of(text, self.kind, **self.options)
+
+    def phrase_words(self) -> tuple[list[str], bool]:
+        """Words of `a "b c" + d*`, and whether the last is a prefix."""
+        words, star = [], False
+        while True:
+            head = self.take()
+            body = head[1:-1] if head.startswith('"') else head.rstrip("*")
+            words += self.of(body)
+            star = not head.startswith('"') and head.endswith("*")
+            if self.see() == "*":
+                self.take()
+                star = True
+            if self.see() != "+":
+                return words, star
+            self.take()
+
+    def wanted(self) -> list[int] | None:
+        """Column numbers of a filter, if one stands here."""
+        start, negated = self.at, False
+        if self.see() == "-":
+            self.take()
+            negated = True
+        names = []
+        if self.see() == "{":
+            self.take()
+            while self.see() not in ("}", ""):
+                names.append(self.take())
+            self.take()
+        elif self.at + 1 < len(self.parts) and self.parts[self.at + 1] == ":":
+            names.append(self.take())
+        if not names or self.see() != ":":
+            self.at = start
+            return None
+        self.take()
+        lower = [c.lower() for c in self.columns]
+        unknown = [n for n in names if n.strip('"').lower() not in lower]
+        if unknown:
+            raise ValueError(f"no such column: {unknown[0]}")
+        found = [lower.index(n.strip('"').lower()) for n in names]
+        return [k for k in range(len(lower)) if k not in found] if negated else found
+
+    def atom(self):
+        only = self.wanted()
+        if only is not None:
+            inner = self.atom()
+            return lambda post: inner(post.where(F.col("col").isin(only)))
+        head = self.see()
+        if head in ("", ")", "AND", "OR", "NOT"):
+            raise ValueError("the query ends too early" if not head else f"can't read the query from {head!r}")
+        if head == "(":
+            self.take()
+            inner = self.either()
+            if self.take() != ")":
+                raise ValueError("a parenthesis is open")
+            return inner
+        if head == "^":
+            self.take()
+            words, star = self.phrase_words()
+            self.words += words[:-1] + [words[-1] + "*" * star] if words else []
+            return lambda post: _phrase_at(post, words, star).where("pos = 0").select("id").distinct()
+        if head.startswith("NEAR("):
+            body, _, n = self.take()[5:-1].rpartition(",")
+            if not body or not n.strip().isdigit():
+                body, n = head[5:-1], "10"
+            phrases = [p for p in (self.of(x.strip('"')) for x in re.findall(r'"[^"]*"|[^\s"]+', body)) if p]
+            self.words += [w for p in phrases for w in p]
+            return lambda post: near(post, phrases, int(n)) if phrases else post.where("false").select("id")
+        words, star = self.phrase_words()
+        self.words += words[:-1] + [words[-1] + "*" * star] if words else []
+        if len(words) == 1:
+            return lambda post: prefix(post, words[0]) if star else term(post, words[0])
+        return lambda post: phrase(post, words, star)
+
+
+def search(post: DataFrame, query: str, kind: str = "unicode", columns: list[str] | None = None, **options) -> DataFrame:
+    """Ids that match a query (see _Question); its words go through the tokenizer that made the postings."""
+    return _Question(query, kind, columns or [], **options).plan(post)
+
+
+def search_texts(df: DataFrame, id_col: str, text_cols: str | list[str], query: str, kind: str = "unicode", **options) -> DataFrame:
+    """search() over texts: only the query's words become postings."""
+    cols = [text_cols] if isinstance(text_cols, str) else text_cols
+    asked = _Question(query, kind, cols, **options)
+    return asked.plan(postings(df, id_col, cols, kind, asked.words, **options))
+
+
+def bm25(post: DataFrame, words: list[str], k1: float = 1.2, b: float = 0.75, weights: list[float] | None = None) -> DataFrame:
+    """Rows (id, score) of documents with any of the words; the best have the least (most negative) score.
+
+    Hits in column k count weights[k] times (1 by default). Lengths and hits are counted in one pass, so
+    a row per document is shuffled, not one per word.
+    """
+    words = list(dict.fromkeys(words))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("col") + 1) if weights else F.lit(1.0)
+    hits = [F.sum(F.when(F.col("term") == w, weight)).alias(f"tf{k}") for k, w in enumerate(words)]
+    docs = post.groupBy("id").agg(F.count("*").alias("len"), *hits)
+    stats = docs.agg(F.count("*").alias("docs"), F.avg("len").alias("avg"), *[F.count(f"tf{k}").alias(f"df{k}") for k in range(len(words))])
+    # stats has one row
+    rows = docs.where(F.coalesce(*[F.col(f"tf{k}") for k in range(len(words))]).isNotNull()).crossJoin(F.broadcast(stats))
+
+    def part(k: int) -> Column:
+        tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
+        idf = F.greatest(F.ln((F.col("docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        return F.coalesce(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg"))), F.lit(0.0))
+
+    return rows.select("id", (-reduce(lambda x, y: x + y, [part(k) for k in range(len(words))])).alias("score"))
+
+
+def vocabulary(post: DataFrame, detail: str = "row") -> DataFrame:
+    """row: (term, doc, cnt); col: the same per column; instance: (term, id, col, pos)."""
+    if detail == "instance":
+        return post.select("term", "id", "col", "pos")
+    by = ["term", "col"] if detail == "col" else ["term"]
+    # documents first, so that a frequent term's documents are counted, not gathered
+    return post.groupBy(*by, "id").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
 
 
 def highlight(text: Column, words: list[str], before: str = "[", after: str = "]") -> Column:
@@ -232,15 +395,25 @@ def _best_window(text: str, wanted: set[str], size: int, before: str, after: str
 
 
 def offsets(post: DataFrame, words: list[str]) -> DataFrame:
-    """Rows (id, term, pos) of the query's words."""
-    return post.where(F.col("term").isin(words)).select("id", "term", "pos")
+    """Rows (id, col, term, pos) of the query's words."""
+    return post.where(F.col("term").isin(words)).select("id", "col", "term", "pos")
 
 
 def match_info(post: DataFrame, words: list[str]) -> DataFrame:
-    """Per document and word: hits in the document, hits in all documents, documents with hits."""
-    here = post.where(F.col("term").isin(words)).groupBy("id", "term").agg(F.count("*").alias("hits"))
-    total = here.groupBy("term").agg(F.sum("hits").alias("all_hits"), F.count("*").alias("docs"))
-    return here.join(F.broadcast(total), "term").select("id", "term", "hits", "all_hits", "docs")
+    """Per document, column and word (the x of matchinfo): hits there, hits in all documents' column, documents with hits in it."""
+    here = post.where(F.col("term").isin(words)).groupBy("id", "col", "term").agg(F.count("*").alias("hits"))
+    # a row per query word and column
+    total = here.groupBy("col", "term").agg(F.sum("hits").alias("all_hits"), F.count("*").alias("docs"))
+    return here.join(F.broadcast(total), ["col", "term"]).select("id", "col", "term", "hits", "all_hits", "docs")
+
+
+def match_stats(post: DataFrame, columns: int = 1) -> DataFrame:
+    """The n, a and l of matchinfo: per document its terms in each column (l), beside the number of documents (n) and the columns' mean lengths (a)."""
+    lengths = [F.count_if(F.col("col") == k).alias(f"l{k}") for k in range(columns)]
+    docs = post.groupBy("id").agg(*lengths)
+    # one row
+    whole = docs.agg(F.count("*").alias("n"), *[F.avg(f"l{k}").alias(f"a{k}") for k in range(columns)])
+    return docs.crossJoin(F.broadcast(whole))
 
 
 def edit_distance(a: Column, b: Column) -> Column:

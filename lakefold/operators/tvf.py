@@ -57,6 +57,35 @@ def _step(k) -> str:
 _SCHEMA = "key string, value string, type string, atom string, id int, parent int, fullkey string, path string"
 
 
+def each(df: DataFrame, col: str) -> DataFrame:
+    """df with a row per direct member of a JSON object or array, all in the JVM: key, value, type, fullkey.
+
+    Text that isn't JSON, and null, have no rows; a value that is neither object nor array is one row
+    without key. An object's members come by name. Numbers keep their value, not their spelling.
+    """
+    doc = F.try_parse_json(F.col(col))
+    # variant_explode reads objects and arrays; anything else stands for itself
+    kind = F.schema_of_variant(doc)
+    deep = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    rows = df.withColumn("_doc", doc).where("_doc is not null").withColumn("_deep", deep)
+    inside = rows.where("_deep").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_doc").outer()))
+    inside = inside.select(*df.columns, F.coalesce("key", F.col("pos").cast("string")).alias("key"), F.col("value").alias("_v"), _place("key", "pos").alias("fullkey"))
+    alone = rows.where("not _deep").select(*df.columns, F.lit(None).cast("string").alias("key"), F.col("_doc").alias("_v"), F.lit("$").alias("fullkey"))
+    both = inside.unionByName(alone)
+    name = F.schema_of_variant("_v")
+    text = F.variant_get("_v", "$", "string")
+    kind = (
+        F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "text").when(name == "VOID", "null")
+        .when(name == "BOOLEAN", text).when(name == "BIGINT", "integer").when(name.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").otherwise("real")
+    )
+    return both.select(*df.columns, "key", text.alias("value"), kind.alias("type"), "fullkey")
+
+
+def _place(key: str, pos: str):
+    plain = F.col(key).rlike(r"^[A-Za-z_][A-Za-z0-9_]*$")
+    return F.when(F.col(key).isNull(), F.concat(F.lit("$["), F.col(pos).cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("$."), key)).otherwise(F.concat(F.lit('$."'), key, F.lit('"')))
+
+
 @udtf(returnType=_SCHEMA)
 class JsonTree:
     """Every element below a JSON text, parents first."""

@@ -32,6 +32,33 @@ def sum_excluding(x: Column, frame: WindowSpec, partition: list, order: list, ex
     return F.when(left > 0, s - F.when(inside, less).otherwise(0))
 
 
+def extreme_excluding(df: DataFrame, fn, x: Column, name: str, partition: list, order: list, start: int, end: int, exclude: str, row: list) -> DataFrame:
+    """df with column `name`: fn (F.max or F.min) of x OVER (... GROUPS BETWEEN start AND end EXCLUDE exclude).
+
+    The frame is taken apart: peer groups before, peer groups after, and what stays of the own group, so
+    the cost does not grow with the square of a frame. row names columns that tell a group's rows apart.
+    With an unbounded start and end 0 this is also RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW.
+    """
+    ranked = df.withColumn("_g", F.dense_rank().over(over(partition, order)))
+    groups = Window.partitionBy(*partition).orderBy("_g")
+    pick = F.greatest if fn is F.max else F.least
+    parts = []
+    if start < 0:
+        parts.append(fn(x).over(groups.rangeBetween(start, min(end, -1))))
+    if end > 0:
+        parts.append(fn(x).over(groups.rangeBetween(max(start, 1), end)))
+    if start <= 0 <= end:
+        peers = over([*partition, *order], row)
+        if exclude == "current":
+            parts += [fn(x).over(peers.rowsBetween(Window.unboundedPreceding, -1)), fn(x).over(peers.rowsBetween(1, Window.unboundedFollowing))]
+        elif exclude == "ties":
+            parts.append(x)
+        elif exclude == "none":
+            parts.append(fn(x).over(Window.partitionBy(*partition, *order)))
+    value = pick(*parts) if len(parts) > 1 else parts[0] if parts else F.lit(None).cast(df.select(x.alias("x")).schema["x"].dataType)
+    return ranked.withColumn(name, value).drop("_g")
+
+
 def list_excluding(x: Column, key: Column, frame: WindowSpec, exclude: str, row: Column) -> Column:
     """Values of the frame without the excluded, for any aggregate of arrays (array_max, array_min, size).
 

@@ -46,7 +46,7 @@ def agg_percentile(spark, d):
 
 @query("select o_orderpriority, list_sort(list(o_totalprice))[cast(floor(0.8 * (count(*) - 1)) as int) + 1] as p80 from orders group by o_orderpriority")
 def agg_percentile_disc_ref(spark, d):
-    return load(spark, d, "orders")[0].groupBy("o_orderpriority").agg(A.percentile_disc(F.col("o_totalprice"), 0.8).alias("p80"))
+    return A.percentile_disc_by(load(spark, d, "orders")[0], ["o_orderpriority"], F.col("o_totalprice"), 0.8, "p80")
 
 
 @query("select o_orderstatus, cast(sum(cast(o_totalprice as decimal(18, 2))) as varchar) as exact from orders group by o_orderstatus")
@@ -94,8 +94,8 @@ def _excluding(kind: str):
         o, = load(spark, d, "orders")
         frame = W.over(["o_custkey"], ["o_orderpriority"]).rangeBetween(Window.unboundedPreceding, 0)
         total = W.sum_excluding(F.col("o_orderkey"), frame, ["o_custkey"], ["o_orderpriority"], kind)
-        kept = W.list_excluding(F.col("o_orderkey"), F.col("o_orderpriority"), frame, kind, F.col("o_orderkey"))
-        return o.select("o_orderkey", total.alias("s"), F.array_max(kept).alias("m"))
+        o = o.withColumn("s", total)
+        return W.extreme_excluding(o, F.max, F.col("o_orderkey"), "m", ["o_custkey"], ["o_orderpriority"], Window.unboundedPreceding, 0, kind, ["o_orderkey"]).select("o_orderkey", "s", "m")
 
     from .registry import ORACLE, QUERIES
 

@@ -20,7 +20,7 @@ sql("filter_or_null_logic", "select o_orderkey from orders where (o_custkey < 10
 sql("null_logic", """
 select o_orderkey, x is null as is_null, x is not distinct from 'O' as same, x is distinct from 'O' as other, coalesce(x, 'none') as filled
 from (select o_orderkey, nullif(o_orderstatus, 'F') as x from orders) t""")
-sql("in_list_with_null", "select o_orderkey, o_custkey in (1, 2, null) as hit from orders where o_custkey < 20")
+sql("in_list_with_null", "select o_orderkey, o_custkey in (1, 2, null) as hit from orders")
 sql("case_expr", """
 select l_orderkey, l_linenumber, l_quantity, case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as band,
     case l_returnflag when 'R' then 1 when 'A' then 2 end as code from lineitem""")
@@ -57,11 +57,14 @@ def natural_join(spark, d):
 
 
 @query("""
-select e.event_id, e.user_id, max(p.ts) as last_ts, arg_max(p.event_id, p.ts) as last_id
-from (select * from events where event_type = 'purchase') e left join (select * from events where event_type = 'view') p
-on p.user_id = e.user_id and p.ts <= e.ts group by e.event_id, e.user_id""")
+with k as (select *, nullif(user_id, (select min(user_id) from events)) as u from events)
+select e.event_id, e.u as user_id, max(p.ts) as last_ts, arg_max(p.event_id, (p.ts, p.event_id)) as last_id
+from (select * from k where event_type = 'purchase') e left join (select * from k where event_type = 'view') p
+on p.u = e.u and p.ts <= e.ts group by e.event_id, e.u""")
 def asof_last_event(spark, d):
     events, = load(spark, d, "events")
+    least = events.agg(F.min("user_id")).first()[0]
+    events = events.withColumn("user_id", F.nullif("user_id", F.lit(least)))  # null keys match nothing
     views_ = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("last_ts"), F.col("event_id").alias("last_id"))
     buys = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     return R.asof_join(buys, views_, ["user_id"], "ts", "last_ts", ["last_ts", "last_id"]).drop("ts")
@@ -96,7 +99,7 @@ def compound_left_assoc(spark, d):
     return R.compound(nation.select(F.col("n_nationkey").alias("k")), ("union", region.select("r_regionkey")), ("intersect", supplier.select("s_nationkey")))
 
 
-sql("order_nulls", "select k, o_orderkey from (select nullif(o_orderstatus, 'F') as k, o_orderkey from orders) t order by k desc nulls last, o_orderkey limit 100")
+sql("order_nulls", "select k, o_orderkey from (select nullif(o_orderstatus, 'F') as k, o_orderkey from orders) t order by k desc nulls last, o_orderkey")
 sql("topk", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 25")
 sql("distinct_rows", "select distinct l_returnflag, l_linestatus, l_linenumber from lineitem")
 
@@ -175,23 +178,39 @@ def next_char(spark, d):
     return tvf.next_char(load(spark, d, "part")[0], "p_name", "b")
 
 
-@query("select n_nationkey, n_name from nation where n_nationkey % 2 = 0 union all select n_nationkey + 1000, 'new' from nation where n_nationkey % 5 = 0 union all select n_nationkey, 'x' || n_name from nation where n_nationkey % 2 = 1")
+def _keyed(spark, d):
+    """Nations, those of region 4 without a key."""
+    return load(spark, d, "nation")[0].select(F.nullif(F.col("n_nationkey"), F.when(F.col("n_regionkey") == 4, F.col("n_nationkey"))).alias("n_nationkey"), "n_name")
+
+
+_KEYED = "(select case when n_regionkey <> 4 then n_nationkey end as n_nationkey, n_name from nation)"
+
+
+@query(f"""
+select n_nationkey, case when n_nationkey % 2 = 1 then 'y' || n_name else n_name end as n_name from {_KEYED} union all
+select n_nationkey + 1000, 'new' from {_KEYED} where n_nationkey % 5 = 0 union all select null, 'none' from nation where n_nationkey < 2""")
 def upsert_merge(spark, d):
-    n = load(spark, d, "nation")[0].select("n_nationkey", "n_name")
-    rows = n.where("n_nationkey % 2 = 1").select("n_nationkey", F.concat(F.lit("x"), "n_name").alias("n_name")).union(n.where("n_nationkey % 5 = 0").select(F.col("n_nationkey") + 1000, F.lit("new")))
-    return changes.upsert(n, rows, ["n_nationkey"], {"n_name": F.col("new.n_name")})
+    n = _keyed(spark, d)
+    odd = n.where("n_nationkey % 2 = 1")
+    rows = odd.select("n_nationkey", F.concat(F.lit("x"), "n_name").alias("n_name"), F.lit(1).alias("at")).union(odd.select("n_nationkey", F.concat(F.lit("y"), "n_name"), F.lit(2)))
+    rows = rows.union(n.where("n_nationkey % 5 = 0").select(F.col("n_nationkey") + 1000, F.lit("new"), F.lit(1))).union(spark.range(2).select(F.lit(None).cast("int"), F.lit("none"), F.lit(1)))
+    return changes.upsert(n, rows, ["n_nationkey"], {"n_name": F.col("new.n_name")}, F.col("at"))
 
 
-@query("select n_nationkey, n_name from nation where n_nationkey % 3 <> 0 union all select n_nationkey, 'r' from nation where n_nationkey % 3 = 0")
+@query(f"select n_nationkey, case when n_nationkey % 3 = 0 then 'r2' else n_name end as n_name from {_KEYED} union all select null, 'none' from nation where n_nationkey < 2")
 def replace_into(spark, d):
-    n = load(spark, d, "nation")[0].select("n_nationkey", "n_name")
-    return changes.replace_into(n, n.where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("r").alias("n_name")), ["n_nationkey"])
+    n = _keyed(spark, d)
+    third = n.where("n_nationkey % 3 = 0")
+    rows = third.select("n_nationkey", F.lit("r2").alias("n_name"), F.lit(2).alias("at")).union(third.select("n_nationkey", F.lit("r1"), F.lit(1))).union(spark.range(2).select(F.lit(None).cast("int"), F.lit("none"), F.lit(0)))
+    return changes.replace_into(n, rows, ["n_nationkey"], F.col("at"))
 
 
-@query("select n_nationkey, n_name from nation union all select 500, 'extra'")
+@query(f"select n_nationkey, n_name from {_KEYED} union all select 500, 'extra' union all select null, 'none' from nation where n_nationkey < 2")
 def insert_or_ignore(spark, d):
-    n = load(spark, d, "nation")[0].select("n_nationkey", "n_name")
-    return changes.insert_or_ignore(n, n.limit(3).union(n.limit(1).select(F.lit(500), F.lit("extra"))), ["n_nationkey"])
+    n = _keyed(spark, d)
+    rows = n.where("n_nationkey is not null").select("n_nationkey", F.lit("lost").alias("n_name"), F.lit(1).alias("at"))
+    rows = rows.union(spark.range(2).select(F.lit(500), F.when(F.col("id") == 0, "extra").otherwise("later"), F.col("id").cast("int"))).union(spark.range(2).select(F.lit(None).cast("int"), F.lit("none"), F.lit(0)))
+    return changes.insert_or_ignore(n, rows, ["n_nationkey"], F.col("at"))
 
 
 @query("select c_custkey, case when c_acctbal < 0 then 0.0 else c_acctbal end as c_acctbal from customer where not (c_nationkey = 3)")

@@ -64,10 +64,10 @@ def fn_instr_replace_trim(spark, d):
     return load(spark, d, "part")[0].select("p_partkey", S.instr(n, F.lit("e")).alias("i"), S.replace(n, F.lit("a"), F.lit("XY")).alias("r"), S.replace(n, F.lit(""), F.lit("z")).alias("same"), S.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("t"), S.ltrim(b, "Brand").alias("l"), S.rtrim(b, "0123456789").alias("rt"), F.reverse(n).alias("rev"))
 
 
-@query("select doc_id, upper(replace(left(text, 40), 'ß', 'ss')) as u, lower(left(text, 40)) as l, length(text)::int as n, octet_length(encode(text))::int as o, unicode(text)::int as c, chr(unicode(text)) as h from documents where length(text) > 0")
+@query("select doc_id, sha256(upper(replace(text, 'ß', 'ss'))) as u, sha256(lower(text)) as l, length(text)::int as n, octet_length(encode(text))::int as o, unicode(text)::int as c, chr(unicode(text)) as h from documents where length(text) > 0")
 def fn_case_len(spark, d):
     t = F.col("text")
-    return load(spark, d, "documents")[0].where("length(text) > 0").select("doc_id", F.upper(F.replace(S.substr(t, 1, 40), F.lit("ß"), F.lit("ss"))).alias("u"), F.lower(S.substr(t, 1, 40)).alias("l"), F.char_length(t).alias("n"), F.octet_length(t).alias("o"), S.unicode(t).alias("c"), S.char(S.unicode(t)).alias("h"))
+    return load(spark, d, "documents")[0].where("length(text) > 0").select("doc_id", F.sha2(F.upper(F.replace(t, F.lit("ß"), F.lit("ss"))), 256).alias("u"), F.sha2(F.lower(t), 256).alias("l"), F.char_length(t).alias("n"), F.octet_length(t).alias("o"), S.unicode(t).alias("c"), S.char(S.unicode(t)).alias("h"))
 
 
 @query("select o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'none') as c, ifnull(nullif(o_orderstatus, 'F'), '-') as i, case when o_custkey > 50 then 'big' else 'small' end as w from orders")
@@ -118,9 +118,16 @@ def fn_zorder(spark, d):
     return load(spark, d, "nation")[0].select("n_nationkey", M.unzorder(z, 2, 0).alias("a"), M.unzorder(z, 2, 1).alias("b"))
 
 
-@query()
+_CODES = "translate(upper(x), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+for _k in "0123456":
+    _CODES = f"regexp_replace({_CODES}, '{_k}+', '{_k}', 'g')"
+
+
+@query(f"""
+with t as (select p_partkey, regexp_replace(regexp_replace(p_name, '^[^A-Za-z]+', ''), '[^A-Za-z]', '0', 'g') as x from part)
+select p_partkey, case when x = '' then '?000' else upper(left(x, 1)) || left(replace(substr({_CODES}, 2), '0', '') || '000', 3) end as s from t""")
 def soundex(spark, d):
-    return load(spark, d, "customer")[0].select("c_custkey", S.soundex(F.col("c_mktsegment")).alias("s"))
+    return load(spark, d, "part")[0].select("p_partkey", S.soundex(F.col("p_name")).alias("s"))
 
 
 def _t():
@@ -165,9 +172,12 @@ def dt_weekday(spark, d):
     return _events(spark, d).select("event_id", D.modify(_t(), "start of day", "weekday 1").alias("monday"))
 
 
-@query("select event_id, '+0000-00-' || lpad((datediff('day', timestamp '2024-01-01', ts))::varchar, 2, '0') || ' ' || strftime(ts, '%H:%M:%S.%g') as x from events")
+@query("""
+with m as (select o_orderkey, o_orderdate as t, datesub('month', timestamp '1992-02-01 06:30:00', o_orderdate) as n from orders),
+r as (select *, timestamp '1992-02-01 06:30:00' + to_months(n::int) as b from m)
+select o_orderkey, printf('+%04d-%02d-%02d ', n // 12, n % 12, datesub('day', b, t)) || strftime(timestamp '2000-01-01' + (t - b - to_days(datesub('day', b, t)::int)), '%H:%M:%S.%g') as x from r""")
 def dt_timediff(spark, d):
-    return _events(spark, d).select("event_id", D.timediff(_t(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("x"))
+    return _orders(spark, d).select("o_orderkey", D.timediff(D.moment(F.col("o_orderdate"), "timestamp"), F.lit("1992-02-01 06:30:00").cast("timestamp_ntz")).alias("x"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, json_extract_string(props, '$.none') as none, true as ok, 'object' as kind from events")
@@ -181,18 +191,26 @@ def json_arrow(spark, d):
     return _events(spark, d).select("event_id", J.arrow(F.col("props"), "k").alias("a"), J.arrow_text(F.col("props"), "k").alias("t"))
 
 
-@query("select event_id, 'k' as key, json_extract_string(props, '$.k') as value, 'integer' as type, '$.k' as fullkey from events")
+_DEEP = """'{"e":' || event_id || ',"t":["' || event_type || '",' || props || ',null,true,' || (event_id % 7) || '.5,[],{"x y":{}}]}'"""
+_KIND = "case type when 'VARCHAR' then 'text' when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'real' when 'BOOLEAN' then atom::varchar else lower(type) end"
+_TEXT = "case type when 'VARCHAR' then {0} ->> '$' when 'NULL' then null else {0}::varchar end"
+
+
+@query(f"""
+select event_id, key, {_TEXT.format("value")} as value, {_KIND} as type, fullkey
+from (select event_id, {_DEEP} as doc from events) e, json_each(e.doc)""")
 def json_each(spark, d):
-    tvf.register(spark)
-    _events(spark, d).select("event_id", "props").createOrReplaceTempView("event_props")
-    return spark.sql("select event_id, j.key, j.value, j.type, j.fullkey from event_props, lateral json_each(props) j")
+    docs = _events(spark, d).select("event_id", F.expr(_DEEP).alias("doc"))
+    return tvf.each(docs, "doc").select("event_id", "key", "value", "type", "fullkey")
 
 
-@query("select event_id, n as n from events, (select unnest([1, 2]) as n)".replace("n as n", "n::int as n"))
+@query(f"""
+select event_id, key, {_TEXT.format("value")} as value, {_KIND} as type, {_TEXT.format("atom")} as atom, fullkey, path
+from (select event_id, {_DEEP} as doc from events) e, json_tree(e.doc)""")
 def json_tree(spark, d):
     tvf.register(spark)
-    _events(spark, d).select("event_id", "props").createOrReplaceTempView("event_props")
-    return spark.sql("select event_id, j.id + 1 as n from event_props, lateral json_tree(props) j")
+    _events(spark, d).select("event_id", F.expr(_DEEP).alias("doc")).createOrReplaceTempView("event_props")
+    return spark.sql("select event_id, j.key, j.value, j.type, j.atom, j.fullkey, j.path from event_props, lateral json_tree(doc) j")
 
 
 @query("""select event_id, '[' || event_id || ',"' || event_type || '",null]' as a, '{"id":' || event_id || ',"type":"' || event_type || '"}' as o, 3 as n from events""")
@@ -210,20 +228,20 @@ def json_edit(spark, d):
 _DOCS = "(select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}\\p{M}]+'), lambda t: t <> '') as w from documents)"
 
 
-def _post(spark, d):
-    return T.postings(load(spark, d, "documents")[0], "doc_id", "text")
+def _post(spark, d, only=None):
+    return T.postings(load(spark, d, "documents")[0], "doc_id", "text", only=only)
 
 
 def _fts(name: str, question: str, oracle: str) -> None:
     def run(spark, d):
-        return T.search(_post(spark, d), question).select(F.col("id").alias("doc_id"))
+        return T.search_texts(load(spark, d, "documents")[0], "doc_id", "text", question).select(F.col("id").alias("doc_id"))
 
     run.__name__ = name
     query(oracle)(run)
 
 
 _fts("fts_term", "this", f"select doc_id from {_DOCS} where list_contains(w, 'this')")
-_fts("fts_prefix", "thro*", f"select doc_id from {_DOCS} where len(list_filter(w, lambda t: starts_with(t, 'thro'))) > 0")
+_fts("fts_prefix", "fro*", f"select doc_id from {_DOCS} where len(list_filter(w, lambda t: starts_with(t, 'fro'))) > 0")
 _fts("fts_and_or_not", "(this OR that) NOT with", f"select doc_id from {_DOCS} where (list_contains(w, 'this') or list_contains(w, 'that')) and not list_contains(w, 'with')")
 _fts("fts_phrase", '"of the"', f"select doc_id from {_DOCS} where contains(' ' || array_to_string(w, ' ') || ' ', ' of the ')")
 _fts("fts_near", "NEAR(this for, 3)", f"select distinct doc_id from (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as p from {_DOCS}) a join (select doc_id, unnest(w) as t2, generate_subscripts(w, 1) as p2 from {_DOCS}) b using (doc_id) where t = 'this' and t2 = 'for' and abs(p - p2) <= 4")
@@ -231,9 +249,9 @@ _fts("fts_near", "NEAR(this for, 3)", f"select distinct doc_id from (select doc_
 _TERMS = f"(select doc_id as id, unnest(w) as term from {_DOCS})"
 
 
-@query(f"select id as doc_id, count(*) as n from {_TERMS} where term in ('this', 'from') group by id")
+@query(f"select doc_id, term, pos from (select doc_id, unnest(w) as term, (generate_subscripts(w, 1) - 1)::int as pos from {_DOCS}) where term in ('this', 'from')")
 def fts_offsets(spark, d):
-    return T.offsets(_post(spark, d), ["this", "from"]).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return T.offsets(_post(spark, d, ["this", "from"]), ["this", "from"]).select(F.col("id").alias("doc_id"), "term", "pos")
 
 
 @query(f"""
@@ -256,9 +274,24 @@ def fts_snippet(spark, d):
     return load(spark, d, "documents")[0].select("doc_id", T.snippet(t, ["this", "from"]).alias("snippet"), T.highlight(t, ["the"]).alias("marked"))
 
 
-@query()
+# published examples of the stemming algorithm
+_WORDS = "caresses ponies cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing filing happy sky relational conditional vietnamization triplicate formative electrical goodness revival adoption controlling psychology possibly"
+_STEMS = "caress poni cat feed agre plaster motor sing conflat troubl size hop fall hiss file happi sky relat condit vietnam triplic form electr good reviv adopt control psycholog possibl"
+
+
+@query(f"select unnest(string_split('{_WORDS}', ' ')) as word, unnest(string_split('{_STEMS}', ' ')) as stem, n from (select count(*) as n from documents)")
 def fts_porter(spark, d):
-    return load(spark, d, "documents")[0].select("doc_id", F.size(T.tokens(F.col("text"), "porter")).alias("n"))
+    n = load(spark, d, "documents")[0].agg(F.count(T.tokens(F.col("text"), "porter")).alias("n"))
+    words = n.select("n", F.explode(F.split(F.lit(_WORDS), " ")).alias("word"))
+    return words.select("word", T.tokens(F.col("word"), "porter")[0].alias("stem"), "n")
+
+
+_MARK = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}])(the)($|[^\\p{{L}}\\p{{N}}])', '\\1\u2460\\2\u2460\\3', 'g')"
+
+
+@query("select doc_id, sha256(regexp_replace(" + _MARK.format(_MARK.format("text")) + ", '\u2460(.{3})\u2460', '[\\1]', 'g')) as marked from documents")
+def fts_highlight(spark, d):
+    return load(spark, d, "documents")[0].select("doc_id", F.sha2(T.highlight(F.col("text"), ["the"]), 256).alias("marked"))
 
 
 @query("select c_custkey, levenshtein(c_mktsegment, 'BUILDINGS')::int as e from customer")

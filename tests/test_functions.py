@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from lakefold.functions import datetimes as D, json as J, math as M, strings as S
-from lakefold.operators import aggregates as A, recursion, relational as R, text as T, tvf
+from lakefold.operators import aggregates as A, changes as C, recursion, relational as R, text as T, tvf, windows as W
 from lakefold.sources import tables
 from lakefold.streaming import events as E
 from tables_dir import DATA
@@ -122,8 +122,8 @@ def test_aggregates(spark):
 
 
 def test_stems():
-    words = "caresses ponies cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing filing happy sky relational conditional vietnamization triplicate formative electrical goodness revival adoption controlling"
-    stems = "caress poni cat feed agre plaster motor sing conflat troubl size hop fall hiss file happi sky relat condit vietnam triplic form electr good reviv adopt control"
+    words = "caresses ponies cats feed agreed plastered motoring sing conflated troubled sized hopping falling hissing filing happy sky relational conditional vietnamization triplicate formative electrical goodness revival adoption controlling psychology possibly"
+    stems = "caress poni cat feed agre plaster motor sing conflat troubl size hop fall hiss file happi sky relat condit vietnam triplic form electr good reviv adopt control psycholog possibl"
     assert [T.stem(w) for w in words.split()] == stems.split()
 
 
@@ -147,6 +147,108 @@ def test_fts_snippet_marks_whole_texts(spark, tmp_path):
     assert found == {d: re.sub(r"(?i)\b(the)\b", r"[\1]", t) for d, t in rows}
 
 
+def test_query_words_go_through_the_tokenizer(spark):
+    docs = spark.createDataFrame([(1, "She runs to the café", "Running late"), (2, "the run", "of the mill, naïve psychology"), (3, "", None), (4, "a b x c", "c b a")], "id int, text string, title string")
+    ids = lambda post, q, **k: sorted(r["id"] for r in T.search(post, q, **k).collect())
+    plain, porter = (T.postings(docs, "id", ["text", "title"], kind) for kind in ("unicode", "porter"))
+    names = {"columns": ["text", "title"]}
+    assert ids(plain, "Café") == [1] and ids(plain, "NAIVE") == [2] and ids(plain, "running") == [1]
+    assert ids(porter, "running", kind="porter") == [1, 2] and ids(porter, "psychological OR café", kind="porter") == [1, 2]
+    assert ids(plain, "title: run*", **names) == [1] and ids(plain, "-title: run*", **names) == [1, 2] and ids(plain, "{text title}: mill", **names) == [2]
+    assert ids(plain, "NEAR(a b c, 1)", **names) == [4] and ids(plain, "text: NEAR(a b c, 1)", **names) == [] and ids(plain, "text: NEAR(a b c, 2)", **names) == [4]
+    assert ids(plain, 'NEAR("a b" c, 1)') == [4] and ids(plain, 'NEAR("a b" c, 0)') == [] and ids(plain, "a + b + x*") == [4]
+    assert ids(plain, "late AND the NOT mill") == [1] and ids(plain, "^the") == [2] and ids(plain, "text: ^she", **names) == [1]
+    assert [r["id"] for r in T.search_texts(docs, "id", ["text", "title"], '"to the" title: late').collect()] == [1]
+    for wrong in ("(a", "a OR", "none: a", ""):
+        with pytest.raises(ValueError):
+            T.search(plain, wrong)
+    both = spark.createDataFrame([(1, "x y", "z"), (2, "z", "x"), (3, "q", "q")], "id int, a string, b string")
+    score = lambda w: {r["id"]: r["score"] for r in T.bm25(T.postings(both, "id", ["a", "b"]), ["x"], weights=w).collect()}
+    assert set(score(None)) == {1, 2} and score([10.0, 1.0])[1] < score(None)[1] and score([10.0, 1.0])[2] == score(None)[2]
+    assert [r["term"] for r in T.postings(spark.createDataFrame([(1, "c++ a_b")], "id int, t string"), "id", "t", tokenchars="+", separators="").collect()] == ["c++", "a", "b"]
+
+
+def test_excluding_by_brute_force(spark):
+    rows = [(g, k * 5 % 7, k) for g in range(3) for k in range(20)]
+    df = spark.createDataFrame(rows, "g int, o int, x int")
+    for start, end in ((-2, 1), (-1, 0), (1, 2), (0, 0)):
+        for kind in ("none", "current", "group", "ties"):
+            got = {(r["g"], r["x"]): r["m"] for r in W.extreme_excluding(df, F.min, F.col("x"), "m", ["g"], ["o"], start, end, kind, ["x"]).collect()}
+            for g, o, x in rows:
+                peers = sorted({p for h, p, _ in rows if h == g})
+                frame = [(p, y) for h, p, y in rows if h == g and start <= peers.index(p) - peers.index(o) <= end]
+                left = [y for p, y in frame if kind == "none" or kind == "current" and y != x or kind == "group" and p != o or kind == "ties" and (p != o or y == x)]
+                assert got[g, x] == min(left, default=None), (kind, start, end)
+
+
+def test_changes_with_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "keep"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (5, "p", 1), (5, "q", 2), (None, "n", 1), (None, "n", 1)], "k int, v string, at int")
+    rows = lambda df: sorted(((r["k"] or 0, r["v"]) for r in df.collect()))
+    nulls = [(0, "keep"), (0, "n"), (0, "n")]
+    assert rows(C.upsert(old, new, ["k"], {"v": F.concat("old.v", "new.v")}, F.col("at"))) == sorted([*nulls, (1, "a"), (2, "by"), (5, "q")])
+    assert rows(C.upsert(old, new, ["k"])) == sorted([*nulls, (1, "a"), (2, "b"), (5, "p")])
+    assert rows(C.replace_into(old, new, ["k"], F.col("at"))) == sorted([*nulls, (1, "a"), (2, "y"), (5, "q")])
+    assert rows(C.insert_or_ignore(old, new, ["k"], F.col("at"))) == sorted([*nulls, (1, "a"), (2, "b"), (5, "p")])
+    assert C.insert_or_fail(old, new.where("k is null"), ["k"]).count() == 5
+    with pytest.raises(Exception, match="UNIQUE"):
+        C.insert_or_fail(old, new, ["k"]).collect()
+    assert rows(C.update_from(old, new, ["k"], {"v": F.col("src.v")}, F.col("at"))) == [(0, "keep"), (1, "a"), (2, "x")]
+
+
+def test_changesets(spark):
+    make = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    a, b, c = make([(1, "a"), (2, "b"), (3, "c")]), make([(1, "A"), (3, "c"), (4, "d")]), make([(1, "a"), (2, "B"), (4, "D")])
+    rows = lambda df: sorted(map(tuple, df.select("k", "v").collect()))
+    one, two = C.diff(a, b, ["k"]), C.diff(b, c, ["k"])
+    joint = C.concat_changes(one, two, ["k"])
+    assert rows(C.apply_changes(a, joint, ["k"])) == rows(c) and rows(C.apply_changes(c, C.invert(joint), ["k"])) == rows(a)
+    assert {r["k"]: r["op"] for r in joint.collect()} == {2: "update", 3: "delete", 4: "insert"}
+    assert rows(C.apply_changes(a, C.patchset(one, ["k"]), ["k"])) == rows(b)
+    other = make([(1, "changed"), (4, "there")])
+    assert rows(C.apply_changes(other, one, ["k"], "omit")) == [(1, "changed"), (4, "there")]
+    assert rows(C.apply_changes(other, one, ["k"], "replace")) == [(1, "A"), (4, "d")]
+    with pytest.raises(Exception, match="conflict"):
+        C.apply_changes(other, one, ["k"], "abort").collect()
+    assert rows(C.returning(a, b, ["k"], "delete")) == [(2, "b")] and rows(C.returning(a, b, ["k"], "update")) == [(1, "A")]
+
+
+def test_recursive_queue(spark):
+    seed = spark.createDataFrame([(0, 1), (0, 1)], "level int, x int")
+    step = lambda r: r.where("x < 8").select(F.explode(F.array(F.struct((F.col("level") + 1).alias("level"), (F.col("x") * 2).alias("x")), F.struct((F.col("level") + 1).alias("level"), (F.col("x") * 2 + 1).alias("x")))).alias("s")).select("s.*")
+    deep = recursion.recursive_queue(seed, step, [F.desc("level"), F.col("x")], 6, distinct=True).orderBy("_at").collect()
+    assert [r["x"] for r in deep] == [1, 2, 4, 8, 9, 5]
+    wide = recursion.recursive_queue(seed, step, [F.col("level"), F.col("x")], 4, offset=1).orderBy("_at").collect()
+    assert [r["x"] for r in wide] == [1, 2, 2, 3]
+    assert recursion.recursive_queue(seed.limit(0), step, [F.col("x")], 3).count() == 0
+
+
+def test_joins_with_null_keys_and_long_intervals(spark):
+    left = spark.createDataFrame([(None, 5, 1), (1, 5, 2), (1, None, 3)], "g int, t int, i int")
+    right = spark.createDataFrame([(None, 3, 9), (1, 4, 7), (1, None, 8)], "g int, u int, v int")
+    assert {r["i"]: r["v"] for r in R.asof_join(left, right, ["g"], "t", "u", ["v"]).collect()} == {1: None, 2: 7, 3: None}
+    spans = [(k, float(k * 3), float(k * 3 + w)) for k, w in enumerate((1, 0, 5000, 40, -3, 2))] + [(9, None, 4.0)]
+    points = [(k, float(k) / 2) for k in range(200)] + [(999, None)]
+    got = R.interval_join(spark.createDataFrame(spans, "a int, s double, e double"), spark.createDataFrame(points, "b int, p double"), "s", "e", "p", 2.0).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a, s, e in spans for b, p in points if s is not None and p is not None and s <= p < e)
+    none = spark.createDataFrame([], "a int, s double, e double")
+    assert R.interval_join(none, spark.createDataFrame(points, "b int, p double"), "s", "e", "p", 2.0).count() == 0
+
+
+def test_percentile_disc_by(spark):
+    df = spark.createDataFrame([(g, (k * 7) % 13 if k else None) for g in (1, None) for k in range(30)] + [(3, None)], "g int, x int")
+    for f in (0.0, 0.3, 0.8, 1.0):
+        got = {r["g"]: r["p"] for r in A.percentile_disc_by(df, ["g"], F.col("x"), f, "p").collect()}
+        values = sorted((k * 7) % 13 for k in range(1, 30))
+        assert got == {1: values[int(f * 28)], None: values[int(f * 28)], 3: None}
+
+
+def test_json_members(spark):
+    rows = spark.createDataFrame([(1, '{"a":[1,2],"b c":"x"}'), (2, "[1.5,null,true]"), (3, "7"), (4, "{"), (5, None), (6, "[]")], "i int, doc string")
+    got = [tuple(r) for r in tvf.each(rows, "doc").select("i", "key", "value", "type", "fullkey").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", "[1,2]", "array", "$.a"), (1, "b c", "x", "text", '$."b c"'), (2, "0", "1.5", "real", "$[0]"), (2, "1", None, "null", "$[1]"), (2, "2", "true", "true", "$[2]"), (3, None, "7", "integer", "$")], key=str)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n1,"say ""hi"""\n2,\n')
     assert [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "a.csv"), {"x": "INTEGER", "y": "TEXT"}).collect()] == [(1, 'say "hi"'), (2, None)]
