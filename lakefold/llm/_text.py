@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import weakref
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -111,42 +114,57 @@ def remembered(holder) -> None:
 
 
 def forget(*but) -> None:
-    """Drop what other operators have left in a worker that Spark uses again."""
+    """Drop what other operators have left in a worker that Spark uses again, and hand freed memory back to the system."""
     kept = {id(x) for x in but}
     if any([x.forget() for x in list(_HOLDERS) if id(x) not in kept]):
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes that a cache's younger half may hold, by estimate; the older half holds no more.
+CACHE_BYTES = 40 << 20
+#: Longer words are not remembered.
+LONGEST = 64
 
 
 class WordCache:
-    """Encodes many repeated strings through a batch encoder, remembering the last `limit` to 2 * `limit` results."""
+    """Encodes many repeated strings through a batch encoder, remembering results in two generations of `limit` bytes.
 
-    def __init__(self, encode, limit: int = 300_000):
-        self.encode, self.limit, self.seen, self.old = encode, limit, {}, {}
+    When the younger is full the older goes, so what occurs often stays. No encoding is None.
+    """
+
+    def __init__(self, encode, limit: int = CACHE_BYTES):
+        self.encode, self.limit, self.seen, self.old, self.held = encode, limit, {}, {}, 0
         remembered(self)
 
     def forget(self) -> bool:
         """Whether there was anything to forget."""
         held = bool(self.seen)
-        self.seen, self.old = {}, {}
+        self.seen, self.old, self.held = {}, {}, 0
         return held
 
-    def learn(self, words) -> dict:
-        """A dict with at least the results for words."""
-        new = set(words).difference(self.seen)
-        if new:
-            if len(self.seen) > self.limit:
-                self.old, self.seen = self.seen, {}
-                new = set(words)
-            old = self.old
-            fresh = []
-            for w in new:
-                if w in old:
-                    self.seen[w] = old[w]
-                else:
-                    fresh.append(w)
-            if fresh:
-                self.seen.update(zip(fresh, self.encode(fresh), strict=True))
-        return self.seen
-
     def __call__(self, words: list) -> list:
-        return list(map(self.learn(words).__getitem__, words))
+        """The result for each word."""
+        out = list(map(self.seen.get, words))
+        at = [k for k, x in enumerate(out) if x is None]
+        if at:
+            new = self._new(list(dict.fromkeys(map(words.__getitem__, at))))
+            for k in at:
+                out[k] = new[words[k]]
+        return out
+
+    def _new(self, words: list) -> dict:
+        old = self.old
+        found = {w: old[w] for w in words if w in old}
+        fresh = [w for w in words if w not in found]
+        if fresh:
+            found.update(zip(fresh, self.encode(fresh), strict=True))
+        keep = {w: x for w, x in found.items() if len(w) <= LONGEST}
+        # what Python takes for a short string, a short result and their place
+        self.held += sum(map(len, keep)) + 250 * len(keep)
+        if self.held > self.limit:
+            self.old, self.seen, self.held = self.seen, {}, sum(map(len, keep)) + 250 * len(keep)
+        self.seen.update(keep)
+        return found

@@ -26,9 +26,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ._text import WordCache, chunks, forget, remembered
 
 SPACE, INF = "▁", float("inf")
-#: Longer chunks are encoded each time they occur.
-MEMO_CHARS = 40
-
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -58,9 +55,9 @@ class PieceEncoder:
         for p, k in self.ids.items():
             self.automaton.add_word(p, k)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list | None] = {}
-        self.cache = WordCache(lambda some: [self.pack(c) for c in some])
+        self.cache = WordCache(lambda some: [self.pack(c) for c in some], 72 << 20)
         remembered(self)
 
     def forget(self) -> bool:
@@ -116,11 +113,12 @@ class PieceEncoder:
 
     def fit(self, before: int, token: int) -> bool:
         """Whether token can follow before (-1: nothing)."""
-        ok = self.fits.get((before, token))
+        key = before << 32 | token
+        ok = self.fits.get(key)
         if ok is None:
-            if len(self.fits) > 400_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
-            ok = self.fits[before, token] = self._fit(before, token)
+            ok = self.fits[key] = self._fit(before, token)
         return ok
 
     def _fit(self, before: int, token: int) -> bool:
@@ -155,7 +153,7 @@ class PieceEncoder:
                 before = last[start] if start else -1
                 if start and before < 0:
                     continue
-                ok = fits.get((before, token))
+                ok = fits.get(before << 32 | token)
                 if ok or ok is None and fit(before, token):
                     last[end + 1] = token
         out, at = [], len(text)
@@ -182,8 +180,11 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without begin and end."""
         split = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        seen, pack = self.cache.learn([c for x in split for c in x if len(c) <= MEMO_CHARS]), self.pack
-        return [b"".join([seen[c] if len(c) <= MEMO_CHARS else pack(c) for c in x]) for x in split]
+        ids, out, at = self.cache([c for x in split for c in x]), [], 0
+        for x in split:
+            out.append(b"".join(ids[at : at + len(x)]))
+            at += len(x)
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -18,8 +18,8 @@ import json
 import math
 import os
 import re
-import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,64 +28,65 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._text import WordCache, chunks, forget
+from ._text import WordCache, chunks, forget, pieces
 
 #: Text that one file is meant to hold.
 FILE_BYTES = 256 << 20
 NULL_ID = -(1 << 63)
-#: Punctuation that ends many words.
-MARKS = ".,;:!?"
-_SPLIT = re.compile(r"([A-Za-zäöüßàâçèéêëîïôûñáíóú]+)([.,;:!?]?)")
+#: Bytes of Latin-1 texts that the short way takes: what is printed of ASCII and its white space, and letters.
+_KNOWN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+_LOWER = bytes(ord(chr(c).lower()) if c < 0x80 or c in _KNOWN else c for c in range(256))
+#: The vocabulary's units, in such bytes: its endings, letters in a row, single digits, other signs in a row.
+_UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+#: A sign between a letter and white space is a unit of its own.
+_MARK = re.compile(rb"[.,;:!?](?=[ \n])(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 
 _ENCODERS: dict[tuple, WordCache] = {}
 
 
-def word_encoder(path: str, width: int) -> WordCache:
-    """Maps words (bytes without ASCII white space) to their ids' bytes with the tokenizers library; one per worker process.
+def unit_encoder(path: str, width: int) -> WordCache:
+    """Maps units_of() texts to their ids' bytes with the tokenizers library; one per worker process.
 
-    The vocabulary's rules drop white space and never join text across it, so a text's ids are its
-    words' ids in a row. They lower letters and part them from punctuation, so `Word,` has the ids of
-    `word` and those of `,`.
+    The vocabulary's rules lower letters, drop white space, never join text across it, and part letters
+    from the signs after them, so a text's ids are its units' ids in a row.
     """
     if (path, width) not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
-        ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
-        for token, k in tok.get_vocab().items():
-            ends[k] = token.endswith("</w>")
-
-        def plain(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, f"<u{width}").tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def letters(texts: list[str]) -> list[bytes]:
-            """Of words of lower-case letters, hundreds at a time: each ends with the only id that ends a word."""
-            out = []
-            for a in range(0, len(texts), 512):
-                some = texts[a : a + 512]
-                ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, f"<u{width}")
-                cut = (np.flatnonzero(ends[ids]) + 1) * width
-                raw = ids.tobytes()
-                out += [raw[x:y] for x, y in zip([0, *cut.tolist()], cut.tolist(), strict=False)] if len(cut) == len(some) else plain(some)
-            return out
-
-        marks = {c: x for c, x in zip(MARKS, plain(list(MARKS)), strict=True)}
-        bases = WordCache(letters, 400_000)
-
-        def encode(words: list[bytes]) -> list[bytes]:
-            texts = [w.decode() for w in words]
-            split = [_SPLIT.fullmatch(t) for t in texts]
-            keys = [m[1].lower() if m else t if t.isalpha() and t.islower() and unicodedata.is_normalized("NFC", t) else None for t, m in zip(texts, split, strict=True)]
-            known = bases.learn([k for k in keys if k])
-            rest = iter(plain([t for t, k in zip(texts, keys, strict=True) if not k]))
-            return [(known[k] + marks[m[2]] if m and m[2] else known[k]) if k else next(rest) for k, m in zip(keys, split, strict=True)]
-
-        _ENCODERS[path, width] = WordCache(encode, 500_000)
-        _ENCODERS[path, width].bases = bases
+        tokenize, kind = tok.model.tokenize, {2: "H", 4: "I"}[width]
+        # the library's spelling of each character's bytes
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spelling = {c: level.pre_tokenize_str(chr(c))[0][0] for c in _KNOWN if c > 32}
+
+        def short(word: bytes) -> bytes:
+            """Unit by unit, without the steps that leave known bytes in lower case as they are."""
+            units = [word] if word.isalpha() else _UNITS.findall(word)
+            return array(kind, [t.id for u in units for t in tokenize(u.decode("latin-1").translate(spelling))]).tobytes()
+
+        def encode(words: list) -> list[bytes]:
+            rest = iter(tok.encode_batch_fast([w for w in words if isinstance(w, str)], add_special_tokens=False))
+            return [short(w) if isinstance(w, bytes) else array(kind, next(rest).ids).tobytes() for w in words]
+
+        _ENCODERS[path, width] = WordCache(encode, 64 << 20)
     return _ENCODERS[path, width]
 
 
+def units_of(text: str) -> list:
+    """Parts whose ids, one after another, are the text's: words, and signs at their ends.
+
+    Latin-1 bytes in lower case where all characters are known to lower alone; else the words as they are.
+    """
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = b"\0"
+    if raw.translate(None, _KNOWN) or b"<|" in raw:  # the library takes special tokens out of any text
+        return [w.decode() for w in text.encode().split()]
+    return _MARK.sub(rb" \g<0>", raw.translate(_LOWER)).split()
+
+
 def id_width(path: str) -> int:
     """Bytes an id needs."""
     from tokenizers import Tokenizer
@@ -97,33 +98,47 @@ def _fs(folder: str):
     return pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder) if not folder.startswith("file:") else "file://" + folder[5:])
 
 
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of a text, cut at white space, and whether it is the last."""
+    if len(text) < 1 << 20:
+        yield text, True
+        return
+    parts = [x.decode() for x in pieces(text.encode())]
+    yield from ((x, k == len(parts) - 1) for k, x in enumerate(parts))
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    encode = word_encoder(path, width)
-    forget(encode, encode.bases)
+    encode = unit_encoder(path, width)
+    forget(encode)
     end = end_id.to_bytes(width, "little")
     fs, root = _fs(folder)
     part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
     name = f"{part:06d}.bin"
-    docs, sizes = [], []
+    docs, sizes, held = [np.empty(0, np.int64)], [], 0
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/.ids-{attempt}") as out:
         for records in batches:
-            texts = [(t or "").encode() for t in records["text"].to_pylist()]
-            for some in chunks(texts, len, 4 << 20):
-                words = [t.split() for t in some]
-                seen = encode.learn([w for x in words for w in x])
-                for x in words:
-                    ids = b"".join([seen[w] for w in x]) + end
-                    sizes.append(len(ids) // width)
-                    out.write(ids)
-            docs.extend(records["d"].to_pylist())
+            # long texts come in pieces, so what is held is bounded; the end follows the last one
+            for some in chunks(((x, k) for t in records["text"] for x, k in _pieces(t.as_py() or "")), lambda p: len(p[0]), 2 << 20):
+                units = [units_of(x) for x, _ in some]
+                ids = encode([u for x in units for u in x])
+                at = 0
+                for x, (_, last) in zip(units, some, strict=True):
+                    body = b"".join(ids[at : at + len(x)]) + (end if last else b"")
+                    at += len(x)
+                    held += len(body)
+                    out.write(body)
+                    if last:
+                        sizes.append(held // width)
+                        held = 0
+            docs.append(records["d"].to_numpy())
     offsets = np.cumsum([0, *sizes]).astype("<u8")
-    for kind, data in (("docs", np.array(docs, "<i8")), ("offsets", offsets)):
+    for kind, data in (("docs", np.concatenate(docs).astype("<i8")), ("offsets", offsets)):
         with fs.open_output_stream(f"{root}/.{kind}-{attempt}") as out:
             out.write(data.tobytes())
     for kind in ("ids", "docs", "offsets"):
         fs.move(f"{root}/.{kind}-{attempt}", f"{root}/{kind}-{name}")
-    yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(docs)], "n_ids": [int(offsets[-1])]})
+    yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(sizes)], "n_ids": [int(offsets[-1])]})
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> dict:
