@@ -12,8 +12,8 @@ through the whole document likewise, so a score is that of the complete text, ho
 Counts are exact over all training documents, and all of them train the network, in one task for each
 TRAINER_TOKENS tokens. Each trains a copy from the same start on its part, as a stream; the copies are
 averaged in two levels. So what training reads,
-and how many tasks read it, grows with the input. A part of less than TRAIN_TOKENS tokens is read
-several times, up to LEAST_UPDATES updates.
+and how many tasks read it, grows with the input. A task reads its part once, and again until it has
+made LEAST_UPDATES updates, whatever the size of the input.
 The CACHE most frequent words are sent to the tasks with their counts; all others are joined.
 
 Null and empty texts are the end alone. Null ids count as the empty text where ids choose training
@@ -330,22 +330,22 @@ def _score(batches: Iterator[pa.RecordBatch], model, weights, total: float, othe
 
 
 def _rare(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Words outside the cache per document, and one row without a word that counts the document."""
+    """Words outside the cache per document. Copies of a document give the same rows, which are summed and divided by their number."""
     T.forget()
     known = model.value[2]
     for records in batches:
         d, h, word, n = [], [], [], []
         for i, j, text in zip(records["d"].to_pylist(), records["h"].to_pylist(), records["text"].to_pylist(), strict=True):
             found = Counter(w for w in words_of(text) if w not in known)
-            d += [i] * (len(found) + 1)
-            h += [j] * (len(found) + 1)
-            word += [None, *found]
-            n += [1, *found.values()]
+            d += [i] * len(found)
+            h += [j] * len(found)
+            word += found
+            n += found.values()
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["d", "h", "word", "n"])
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score); `learn` holds for the training rows, held_out is its negation."""
+    """Rows (id_col, n_tokens, n_known, train_tokens, base_score, score); `learn` holds for the training rows."""
     spark = docs.sparkSession
     held = docs.select(F.col(id_col).cast("long").alias("d"), F.hash(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     training = held.where("learn")
@@ -385,15 +385,13 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     scored = texts.mapInArrow(lambda it: _score(it, model, weights, total, other_total), "d long, h int, n_tokens long, known long, base double, score double")
     rare = texts.mapInArrow(lambda it: _rare(it, model), "d long, h int, word binary, n long")
     c = F.coalesce(F.col("c"), F.lit(0))
-    joined = rare.join(counts, "word", "left").where("word is not null or n is not null")
+    joined = rare.join(counts, "word", "left")
     log_base, log_share = F.log10((c + 0.1) / F.lit(total)), F.log10((c + 0.1) / F.lit(other_total))
-    named = F.col("word").isNotNull()
-    sums = joined.groupBy("d", "h").agg(
-        F.sum(F.when(~named, F.col("n"))).alias("copies"),
-        F.sum(F.when(named & F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.when(named, F.col("n") * log_base).otherwise(0.0)).alias("base_more"),
-        F.sum(F.when(named, F.col("n") * log_share).otherwise(0.0)).alias("score_more"),
-    )
-    sums = sums.select(F.col("d").alias("d_"), F.col("h").alias("h_"), *[(F.col(x) / F.col("copies")).alias(x) for x in ("more", "base_more", "score_more")])
+    # rows of copies are told by their number beside the join, which has no null words
+    word_sums = [F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * log_base).alias("base_more"), F.sum(F.col("n") * log_share).alias("score_more")]
+    copies = texts.groupBy("d", "h").agg(F.count("*").alias("copies")).withColumns({x: F.lit(0.0) for x in ("more", "base_more", "score_more")})
+    each = joined.groupBy("d", "h").agg(*word_sums).withColumn("copies", F.lit(0).cast("long")).withColumn("more", F.col("more").cast("double"))
+    both = copies.unionByName(each).groupBy("d", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "more", "base_more", "score_more")])
+    sums = both.select(F.col("d").alias("d_"), F.col("h").alias("h_"), *[(F.col(x) / F.col("copies")).alias(x) for x in ("more", "base_more", "score_more")])
     both = scored.join(sums, scored["d"].eqNullSafe(sums["d_"]) & (scored["h"] == sums["h_"]), "left")
     return both.select(F.col("d").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"))
