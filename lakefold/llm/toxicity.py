@@ -6,7 +6,8 @@ of terms, the product of their short vectors: the pairs let an insult count othe
 mention of a group than alone. All pairs are summed in time linear in the terms.
 
 The model is fitted on the driver from at most MAX_LABELLED labelled rows, those with the least hash
-of doc_id; only texts and labels.toxic are used, never lang, source, quality or ids. Every text is
+of doc_id; only texts and labels.toxic are used, never lang, source, quality or ids. An id with several
+labels counts once, as toxic if one says so, and one that several rows share with its least text. Every text is
 scored whole. Null, empty and wordless texts get the score of no terms. Without labelled rows, or
 with one class only, every score is the (smoothed) share of the label. Null labels are ignored.
 """
@@ -137,7 +138,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED) -> dict:
     """Fit on the labelled documents for which `learn` (a condition on doc_id) holds."""
-    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     if learn is not None:
         rows = rows.where(learn)
     # at most `most` rows of two numbers: small enough to broadcast at any size of the input
@@ -145,9 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, id_col: str = "doc_id"
     # the least hashes lie below this bound, so each task offers about its part of them
     some = rows.where(F.xxhash64("doc_id").cast("double") <= (2 * share - 1) * 2.0**63)
     sample = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
-    # an id that many rows share can't make the sample larger
-    found = texts.mapInArrow(_features, "y int, ids binary").limit(4 * most).collect()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    # one text for each id, however many rows share it: `most` rows at the most
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).select("y", "text")
+    found = texts.mapInArrow(_features, "y int, ids binary").collect()
     found.sort(key=lambda r: (r["y"], bytes(r["ids"])))
     return fit([(r["y"], np.frombuffer(r["ids"], "<i4")) for r in found])
 
