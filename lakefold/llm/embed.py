@@ -1,9 +1,11 @@
 """Near-duplicate vectors by p-stable hashing and exact cosine checks.
 
 Vectors are divided by their length, where a cosine is a Euclidean distance. A table's key is a row
-of PROJECTIONS Gaussian projections, shifted and quantised in steps of WIDTH; near vectors share it
-more often than far ones. TABLES independent tables make a pair at the threshold meet in at least
-one with a probability of over 0.99, nearer pairs more often. Keys hold the label, as only vectors
+of Gaussian projections, shifted and quantised in steps of WIDTH; near vectors share it
+more often than far ones. The number of projections follows the logarithm of the number of vectors, so
+that vectors in random directions meet in a bucket about once a table at any size; the number of tables
+follows from it, so that a pair at the threshold fails to meet with a probability of at most MISS,
+nearer pairs less often. Keys hold the label, as only vectors
 with equal labels are compared. The cosine of each pair that meets is then computed in double precision.
 
 Equal vectors form a class that is hashed once and counts with its size. A bucket of more than
@@ -19,6 +21,7 @@ ids may be null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._cluster import checkpoint, components
 
-THRESHOLD, TABLES, PROJECTIONS, WIDTH, BLOCK, SEED = 0.98, 24, 10, 1.0, 1024, 5
+THRESHOLD, MISS, WIDTH, BLOCK, SEED = 0.98, 0.002, 1.0, 1024, 5
+
+
+def share_a_step(cosine: float, width: float) -> float:
+    """Probability that unit vectors of this cosine fall into the same step of one projection."""
+    r = width / math.sqrt(2 - 2 * cosine)
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def plan(n: int, threshold: float = THRESHOLD, width: float = WIDTH, miss: float = MISS) -> tuple[int, int]:
+    """Tables and projections for n vectors."""
+    projections = max(4, math.ceil(math.log(max(n, 2)) / -math.log(share_a_step(0.0, width))))
+    return math.ceil(math.log(miss) / math.log1p(-(share_a_step(threshold, width) ** projections))), projections
 
 
 def _keys(batches: Iterator[pa.RecordBatch], tables: int, projections: int, width: float) -> Iterator[pa.RecordBatch]:
@@ -113,12 +128,13 @@ def _check(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.r_[v[some], v[forest[:, 0]]], "b": np.r_[np.full(len(some), -1), v[forest[:, 1]]], "n": np.r_[links[some].astype(np.int64), np.zeros(len(forest), np.int64)]})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, width: float = WIDTH, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """Rows (id_col, n_links, component_id, kept), one for each row of vectors."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = checkpoint(rows.mapInArrow(_double, "id long, label long, x binary"))
     classes = rows.where("x is not null and label is not null").groupBy("label", "x").agg(F.count("*").alias("w"), F.min("id").alias("first_id"))
     classes = checkpoint(classes.withColumn("v", F.monotonically_increasing_id()))
+    tables, projections = plan(classes.count(), threshold, width, miss)
     keyed = checkpoint(classes.mapInArrow(lambda it: _keys(it, tables, projections, width), "v long, keys array<long>"))
     entries = keyed.select("v", F.posexplode("keys").alias("t", "key"))
     full = entries.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1")
@@ -134,5 +150,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     owned = classes.join(roots, "v", "left").join(counts, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = owned.groupBy("root").agg(F.min("first_id").alias("least"))
     of = owned.join(least, "root").select("label", "x", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"))
-    out = rows.join(of, ["label", "x"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.expr("case when n is null then id else least end").alias("component_id"))
+    # rows that link with nothing stay where they are; copies of one vector are a skewed join that Spark can split
+    whole = F.col("x").isNotNull() & F.col("label").isNotNull()
+    out = rows.where(whole).join(of, ["label", "x"]).select("id", F.col("n").alias("n_links"), F.col("least").alias("component_id"))
+    out = out.unionByName(rows.where(~whole).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.expr("id <=> component_id").alias("kept"))
