@@ -6,11 +6,12 @@ can hold a mark and the writing can be undone. Roles also write `%` as `%25` and
 
 Windows: a conversation's turns are ordered by (turn, role, text), nulls first. Prefix sums of their
 tokens (words, and one per turn) divide it into stretches of `step` tokens. The turns wholly inside a
-stretch are one window's span; a turn that crosses into another stretch is a span of its own. Each
-window begins with the conversation's system turn, if its first turn is one, and with the up to
-`history` turns before its span that hold at most a quarter of the budget; step is what is left of
-the budget beside them (an eighth of it at least). So a window keeps the budget unless a single turn,
-or the system turn, is too long for that: turns are never cut.
+stretch are one window's span, opened by the turn that crosses into the stretch if it has at most an
+eighth of the budget; a longer crossing turn is a span of its own. Each window begins with the
+conversation's system turn, if its first turn is one, and with the up to `history` turns before its
+span that hold at most a quarter of the budget; step is what is left of the budget beside them and a
+crossing turn (an eighth of it at least). So a window keeps the budget unless a single turn, or the
+system turn, is too long for that: turns are never cut.
 
 The loss mask covers the texts of assistant turns of the span itself; repeated turns have none, so
 each target counts once.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, HISTORY = 2048, 2
+BUDGET, HISTORY = 512, 2
 
 
 def escape(text: Column) -> Column:
@@ -58,10 +59,12 @@ def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Dat
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = rows.withColumns({"k": F.row_number().over(w) - 1, "after": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), "system": F.first(F.when(F.col("role") == "system", F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))})
     past = budget // 4
-    step = F.greatest(F.lit(budget - past) - F.coalesce("system", F.lit(0)), F.lit(max(1, budget // 8)))
+    step = F.greatest(F.lit(budget - past - budget // 8) - F.coalesce("system", F.lit(0)), F.lit(max(1, budget // 8)))
     rows = rows.withColumn("before", F.col("after") - F.col("n"))
     begin, end = F.floor(F.col("before") / step), F.floor((F.col("after") - 1) / step)
-    rows = rows.withColumn("window", 2 * begin + (end > begin).cast("long"))
+    crossing = end > begin
+    # even numbers are stretches, odd ones the long turns between them
+    rows = rows.withColumn("window", F.when(crossing & (F.col("n") <= budget // 8), 2 * end).otherwise(2 * begin + crossing.cast("long")))
     rows = rows.withColumn("opens", F.coalesce(F.lag("window").over(w) != F.col("window"), F.lit(True)))
     ahead = [F.when(F.lead("opens", d).over(w) & (F.lead("before", d).over(w) - F.col("before") <= past), F.lead("window", d).over(w)) for d in range(1, history + 1)]
     later = F.filter(F.array(*ahead), lambda x: x.isNotNull()) if ahead else F.array().cast("array<bigint>")

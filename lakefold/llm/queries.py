@@ -109,7 +109,7 @@ ORACLE = {
         nodes as (select vec_id as id from embeddings),{REACH}
         select vec_id, (select count(*) from links where x = vec_id) as n_links, min(root) as component_id, min(root) = vec_id as kept
         from embeddings join reach on reach.id = vec_id group by vec_id""",
-    # the windows' rule, from the operator's description: 2048 tokens, a quarter for history, two turns of it
+    # the windows' rule, from the operator's description: 512 tokens, a quarter for history, two turns of it, an eighth for a crossing turn
     "op3_chat_format": r"""
         with rows as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -126,14 +126,14 @@ ORACLE = {
             from sized window w as (partition by conv_id order by turn, role, text)),
         placed as (
             select *, after - n as before, (k = 0 and role = 'system') as is_system,
-                2 * ((after - n) // greatest(1536 - system, 256))
-                    + cast((after - 1) // greatest(1536 - system, 256) > (after - n) // greatest(1536 - system, 256) as int) as win
+                (after - n) // greatest(320 - system, 64) as first, (after - 1) // greatest(320 - system, 64) as last,
+                case when last > first and n <= 64 then 2 * last else 2 * first + cast(last > first as int) end as win
             from summed),
         opened as (
             select *, coalesce(lag(win) over w <> win, true) as opens from placed window w as (partition by conv_id order by k)),
         repeated as (
-            select *, coalesce(cast(not is_system and lead(opens, 1) over w and lead(before, 1) over w - before <= 512 as int), 0)
-                + coalesce(cast(not is_system and lead(opens, 2) over w and lead(before, 2) over w - before <= 512 as int), 0) as again
+            select *, coalesce(cast(not is_system and lead(opens, 1) over w and lead(before, 1) over w - before <= 128 as int), 0)
+                + coalesce(cast(not is_system and lead(opens, 2) over w and lead(before, 2) over w - before <= 128 as int), 0) as again
             from opened window w as (partition by conv_id order by k)),
         loss as (select *, case when role = 'assistant' then text else '' end as target from repeated)
         select conv_id, cast(count(*) as bigint) as n_turns,
