@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lakefold.session import checkpoint, scratch_folder as new_folder, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lakefold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["checkpoint", "components", "most_frequent", "new_folder", "row_hash", "shared_dir"]
 
 
 def row_hash(*cols: str) -> Column:
@@ -53,11 +34,12 @@ def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
     return counts.where(F.lit(False) if least is None else step >= least)
 
 
-#: So many edges or fewer are joined in one task, which holds them; more go through rounds of shuffles.
-FEW_EDGES = 500_000
+#: Edges that a task contracts at once.
+BLOCK_EDGES = 500_000
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges as stars: each node but the least of its component, with that least node."""
     parent: dict = {}
 
     def root(x):
@@ -70,40 +52,46 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(a) if parent.setdefault(a, a) != a else a, root(b) if parent.setdefault(b, b) != b else b
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
+    nodes = [x for x in parent if parent[x] != x]
     for k in range(0, len(nodes), 50_000):
         some = nodes[k : k + 50_000]
-        yield pa.RecordBatch.from_pydict({"node": some, "root": [root(x) for x in some]})
+        yield pa.RecordBatch.from_pydict({"a": some, "b": [root(x) for x in some]})
 
 
-def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, block: int = BLOCK_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root being the smallest node reachable.
 
-    Up to `few` edges, a bound that is checked, are joined by one task. More alternate the large-star
-    and small-star steps until the set of edges stays the same. Minima are
-    combined before each shuffle and hot nodes are joined, not gathered, so no task holds a node's
-    neighbours. Loops and repeated edges are allowed, rows with a null end are ignored, and an empty
-    input gives an empty result. Nodes without an edge to another node do not appear.
+    Blocks of edges are contracted to stars, a task each, which holds `block` edges and no more whatever
+    their number. Then large-star and small-star steps alternate until the stars stay the same; a
+    single block is one component's stars at once and needs none. Minima are combined before each
+    shuffle and hot nodes are joined, not gathered, so no task holds a node's neighbours. Loops and
+    repeated edges are allowed, rows with a null end are ignored, and an empty input gives an empty
+    result. Nodes without an edge to another node do not appear.
     """
-    now = checkpoint(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    kind = edges.schema["a"].dataType.simpleString()
+    plain = checkpoint(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = plain.count()
+    blocks = max(1, math.ceil(n / block))
+    # few files and map tasks where there are few edges
+    dealt = plain.coalesce(blocks) if plain.rdd.getNumPartitions() > blocks else plain.repartition(blocks)
+    now = checkpoint(dealt.mapInArrow(_contract, f"a {kind}, b {kind}"))
     state = _state(now)
-    if state[0] <= few:
-        kind = now.schema["a"].dataType.simpleString()
-        return checkpoint(now.coalesce(1).mapInArrow(_union, f"node {kind}, root {kind}"))
-    for _ in range(rounds):
+    for _ in range(rounds if blocks > 1 else 0):
         if not state[0]:
             break
+        tasks = max(1, math.ceil(state[0] / block))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = checkpoint(small)
+        now = checkpoint(small.coalesce(tasks))
         state, before = _state(now), state
         if state == before:
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if blocks > 1:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return nodes.unionByName(nodes.select(F.col("root").alias("node"), "root").distinct())
 

@@ -9,16 +9,18 @@ shingles with its transpose, in blocks of columns and pairs, and computes only e
    their first n - ceil(t n) + 1, and it is among the first n - ceil(2 t / (1 + t) n) + 1 of the
    smaller set. Only these columns generate entries. Which shingles count as
    frequent changes the cost, never the result.
-3. Each class is first compared with one leader, the least class of all its columns' classes, and
-   each column's classes are dealt by hash into buckets of about FEW, inside which all meet, DEALS
-   times over, later only those of different components. That joins the copies of one text without
-   all meeting: entries grow with the classes, not with a group's square. At last, of each column
-   only entries between different components are left: those of classes outside its leader's
-   component with the others.
-4. Overlaps are accumulated over the leading columns first. Bounds from the sizes, from the places in
+3. Blocks: each class goes, with the others that choose the same of their columns, into blocks of about
+   BLOCK classes of like size, twice over with other choices, sizes' bounds and blocks. In a block the
+   incidence matrix of its members is multiplied with its transpose, a block of columns at a time: first
+   of the leading columns, where a class without a partner that can still reach the bound goes, then of
+   the whole sets. A block returns its components as stars, so copies of one text join without all of
+   their pairs ever being written: what is written grows with the classes, not with a group's square.
+   At last, of each column only entries between different components are left: those of classes outside
+   its leader's component with the others.
+4. For these overlaps are accumulated over the leading columns first. Bounds from the sizes, from the places in
    both sets and from that sum discard entries before their sets are read. For the rest, overlaps are
    accumulated over blocks of the sets in hash order, and a pair goes as soon as what is left can't
-   lift it over the bound.
+   lift it over the bound. Only texts that such a pair names are read for their sets.
 
 No pair of one component is generated once it is known to be one, every other entry of the product
 is checked exactly, and nothing is capped. Shingles are told apart by 64-bit hashes.
@@ -43,8 +45,8 @@ from ._cluster import checkpoint, components, most_frequent
 
 #: Shingles that go last in the order: at most so many, those found most often.
 FREQUENT = 1 << 20
-#: Classes of a column that meet in a bucket, and the number of deals.
-FEW, DEALS = 8, 3
+#: Classes that meet in a block, and shingles that a block is meant to hold.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
 #: Bits of the filters that keep columns and sets without a candidate at home.
 FILTER_BITS = 1 << 24
 
@@ -137,20 +139,102 @@ def overlaps(x: np.ndarray, y: np.ndarray, t: Fraction, block: int = 1024) -> bo
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch], n: int, wanted) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts whose hash is in the filter; the other texts are not looked at."""
     T.forget()
     bits = wanted.value
     for records in batches:
-        prints, sets = [], []
-        for text in records["_text"].to_pylist():
-            own = shingles(text, n)
-            if not len(own):
-                continue
-            fp = _fingerprint(own)
-            k = int.from_bytes(fp[:4], "little") % FILTER_BITS
-            if int(bits[k >> 6]) >> (k & 63) & 1:
-                prints.append(fp)
-                sets.append(own.tobytes())
-        yield pa.RecordBatch.from_pydict({"_fp": pa.array(prints, pa.binary()), "s": pa.array(sets, pa.binary())})
+        k = (records["h"].to_numpy() & (FILTER_BITS - 1)).astype(np.uint64)
+        some = np.flatnonzero(bits[k >> np.uint64(6)] >> (k & np.uint64(63)) & np.uint64(1))
+        for part in T.chunks(some.tolist(), lambda i: len(records["_text"][i].as_buffer()), 4 << 20):
+            prints, sets = [], []
+            for i in part:
+                own = shingles(records["_text"][i].as_py(), n)
+                if len(own):
+                    prints.append(_fingerprint(own))
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_pydict({"_fp": pa.array(prints, pa.binary()), "s": pa.array(sets, pa.binary())})
+
+
+def product(parts: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Overlaps of all pairs of sets: their incidence matrix times its transpose, `width` columns at a time."""
+    size = [len(p) for p in parts]
+    _, column, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(parts)), size)
+    shared = np.flatnonzero(count[column] > 1)
+    # columns with one entry only add to the diagonal
+    number = np.cumsum(count > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    out = np.zeros((len(parts), len(parts)), np.float32)
+    for begin in range(0, int((count > 1).sum()), width):
+        lo, hi = np.searchsorted(column, (begin, begin + width))
+        block = np.zeros((len(parts), min(width, int(column[hi - 1]) - begin + 1)), np.float32)
+        block[row[lo:hi], column[lo:hi] - begin] = 1
+        out += block @ block.T
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Consecutive rows that are equal in the first `key` columns; one block is held at a time."""
+    now, held = None, []
+    for records in batches:
+        if not len(records):
+            continue
+        ids = [records[k].to_numpy() for k in range(key)]
+        cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(records)], strict=True):
+            own = tuple(int(x[lo]) for x in ids)
+            if own != now:
+                if held:
+                    yield now, held
+                now, held = own, []
+            held.append(records.slice(lo, hi - lo))
+    if held:
+        yield now, held
+
+
+def _flag(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of rows (r, g, k, v, n, lead) in blocks: those with a partner that the leading columns and the sizes leave possible."""
+    T.forget()
+    num, den = t.numerator, t.denominator
+    for key, held in _blocks(batches, 4):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if len(rows) < 2:
+            continue
+        n = rows["n"].to_numpy()
+        more, less = np.maximum.outer(n, n), np.minimum.outer(n, n)
+        found = product([x.values.to_numpy() for x in rows["lead"]])
+        rest = -(-more * num // den) - 1
+        able = (found > 0) & (found + rest >= -(-(more + less) * num // (num + den))) & (less * den >= more * num)
+        np.fill_diagonal(able, False)
+        some = np.flatnonzero(able.any(1))
+        v = rows["v"].to_numpy()[some]
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(v), x)) for x in key], pa.array(v)], ["r", "g", "band", "k", "v"])
+
+
+def _join(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of rows (r, g, k, v, s) in blocks: their components as stars (a, b)."""
+    T.forget()
+    num, den = t.numerator, t.denominator
+    for _, held in _blocks(batches, 4):
+        rows = pa.Table.from_batches(held)
+        if len(rows) < 2:
+            continue
+        v = rows["v"].to_numpy()
+        by = np.argsort(v)
+        sets = [np.frombuffer(rows["s"][int(i)].as_buffer(), np.uint64) for i in by]
+        v, n = v[by], np.array([len(x) for x in sets])
+        link = product(sets) * (num + den) >= num * np.add.outer(n, n)
+        np.fill_diagonal(link, True)
+        root = np.arange(len(v))
+        while True:
+            low = np.where(link, root, len(v)).min(1)
+            if (low == root).all():
+                break
+            root = low
+        out = np.flatnonzero(root != np.arange(len(v)))
+        yield pa.RecordBatch.from_arrays([pa.array(v[out]), pa.array(v[root[out]])], ["a", "b"])
 
 
 def _trim(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -181,10 +265,10 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
     """Rows (id_col, n_shingles, component_id), one for each row of docs, in no order; with text_hash also xxhash64 of the text."""
     t, spark = Fraction(threshold), docs.sparkSession
     num, den = t.numerator, t.denominator
-    base = docs.select(F.col(id_col).alias("_id"), *[F.xxhash64(text_col).alias("_h")] * text_hash, F.col(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
     own = base.columns[:-1]
-    texts = base.select("_text").where("length(_text) > 0")
-    often = texts.mapInArrow(lambda it: _common(it, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    texts = base.select(F.col("_h").alias("h"), "_text").where("length(_text) > 0")
+    often = texts.select("_text").mapInArrow(lambda it: _common(it, n), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     often = most_frequent(checkpoint(often), "n", FREQUENT).toArrow()
     g = often["g"].to_numpy().view(np.uint64)
     by = np.argsort(g)
@@ -192,7 +276,8 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
 
     schema = StructType([*base.schema.fields[:-1], StructField("_n", LongType()), StructField("_fp", BinaryType()), StructField("_lead", ArrayType(LongType()))])
     signed = checkpoint(base.mapInArrow(lambda it: _sign(it, n, frequent, t, len(own)), schema))
-    classes = signed.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("first_id"), F.first("_n").alias("n"), F.first("_lead").alias("lead"))
+    # th: a text that has the set
+    classes = signed.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("first_id"), F.min("_h").alias("th"), F.first("_n").alias("n"), F.first("_lead").alias("lead"))
     classes = checkpoint(classes.withColumn("v", F.monotonically_increasing_id()))
 
     # columns with several classes, and their least class; partial minima go before the shuffle
@@ -200,7 +285,7 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
     columns = checkpoint(columns)
     held = _filter(columns.select(F.col("g").alias("k")))
     entries = classes.select("v", "n", "lead").mapInArrow(lambda it: _trim(it, held), "g long, v long, n long, at long")
-    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader", F.ceil(F.col("c") / FEW).alias("buckets")))
+    shared = checkpoint(entries.join(columns, "g").select("g", "v", "n", "at", "leader", "c"))
 
     # what two sets of these sizes must have in common, and may still have beyond their leading columns
     need = f"ceil((n + m) * {num}L / {num + den}D - 1e-9)"
@@ -218,26 +303,27 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
         y = classes.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("lead").alias("y"))
         return checkpoint(pairs.join(x, "a").join(y, "b").where(f"size(array_intersect(x, y)) + {rest} >= {need}").select("a", "b"))
 
-    led = shared.groupBy("v", "n").agg(F.min("leader").alias("b")).where("v <> b").withColumnRenamed("v", "a")
-    led = led.join(classes.select(F.col("v").alias("b"), F.col("n").alias("m")), "b").where(alike).select("a", "b")
+    # each class chooses its most frequent column and one by hash; the second time bands of size lie elsewhere
+    chosen = shared.groupBy("v", "n").agg(F.max(F.struct("c", "g")).alias("x"), F.max(F.struct(F.xxhash64("g").alias("h"), "c", "g")).alias("y"))
+    turns = [F.struct(F.lit(r).cast("long").alias("r"), F.col(f"{x}.g").alias("g"), F.col(f"{x}.c").alias("c"), F.floor(2 * F.log2("n") + r / 2).alias("band")) for r, x in enumerate("xy")]
+    chosen = chosen.select("v", "n", F.explode(F.array(*turns)).alias("p")).select("v", "n", "p.*")
+    most = F.greatest(F.lit(4.0), F.least(F.lit(float(BLOCK)), BLOCK_SHINGLES / F.pow(F.lit(2.0), F.col("band") / 2)))
+    chosen = chosen.withColumn("k", F.pmod(F.xxhash64("v", "r"), F.ceil(F.col("c") / most)))
+    place = ["r", "g", "band", "k"]
 
-    def dealt(rows: DataFrame, deal: int, apart: str = "true") -> DataFrame:
-        """Pairs that meet in a bucket of a column; another deal has other buckets."""
-        bucket = F.pmod(F.xxhash64("v", "g", F.lit(deal)), F.col("buckets"))
-        one = rows.select("g", bucket.alias("k"), F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"))
-        two = rows.select("g", bucket.alias("k"), F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
-        return one.join(two, ["g", "k"]).where(f"a > b and {apart} and {can_link}").select("a", "b")
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*place).sortWithinPartitions(*place)
 
-    first = promising(led.union(dealt(shared.withColumn("c", F.col("v")), 0)))
+    blocks = in_blocks(chosen.select(*place, "v", "n").join(classes.select("v", "lead"), "v").select(*place, "v", "n", "lead"))
+    flagged = checkpoint(blocks.mapInArrow(lambda it: _flag(it, t), "r long, g long, band long, k long, v long"))
 
-    def with_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Sets of the classes in pairs, read from the texts again; the others' stay where they are."""
-        nodes = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
+    def with_sets(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Sets of the classes, read from the texts again unless they are known."""
+        nodes = nodes.distinct()
         if known is not None:
             nodes = nodes.join(known.select("v"), "v", "left_anti")
-        wanted = checkpoint(classes.select("v", "_fp").join(nodes, "v", "left_semi"))
-        key = F.conv(F.concat(*[F.substring(F.hex("_fp"), k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
-        bits = _filter(wanted.select(key.alias("k")))
+        wanted = checkpoint(classes.select("v", "_fp", "th").join(nodes, "v", "left_semi"))
+        bits = _filter(wanted.select(F.col("th").alias("k")))
         found = texts.mapInArrow(lambda it: _own_sets(it, n, bits), "_fp binary, s binary")
         out = checkpoint(found.join(wanted, "_fp").groupBy("v").agg(F.first("s").alias("s")))
         return out if known is None else known.union(out)
@@ -247,34 +333,28 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
         y = sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
         return checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lambda it: _multiply(it, t), "a long, b long"))
 
-    def placed(links: DataFrame) -> DataFrame:
-        """Entries with their component so far, of the columns that hold several."""
-        joined = components(links)
-        now = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("c", F.coalesce("root", "v"))
-        open_columns = now.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("g")
-        heads = now.where("v = leader").select("g", F.col("c").alias("lead_c"))
-        return checkpoint(now.join(open_columns, "g").join(heads, "g").select("g", "v", "n", "at", "buckets", "c", "lead_c"))
-
-    sets = with_sets(first)
-    links = verified(first, sets)
-    left = placed(links)
-    for deal in range(1, DEALS):
-        again = promising(dealt(left, deal, "ac <> bc"))
-        have = sets.select("v")
-        again = again.join(have.withColumnRenamed("v", "a"), "a", "left_semi").join(have.withColumnRenamed("v", "b"), "b", "left_semi")
-        links = links.unionByName(verified(again, sets))
-        left = placed(links)
+    sets = with_sets(flagged.select("v"))
+    links = checkpoint(in_blocks(flagged.join(sets, "v").select(*place, "v", "s")).mapInArrow(lambda it: _join(it, t), "a long, b long"))
+
+    # entries with their component so far, of the columns that hold several
+    joined = components(links)
+    now = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").select("g", "v", "n", "at", "leader", F.coalesce("root", "v").alias("c"))
+    open_columns = now.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min(F.when(F.col("v") == F.col("leader"), F.col("c"))).alias("lead_c")).where("x <> y").select("g", "lead_c")
+    left = checkpoint(now.join(open_columns, "g").select("g", "v", "n", "at", "c", "lead_c"))
     some = left.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
     other = left.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
     meet = some.join(other, "g").where(f"ac <> bc and (bc = lead_c or a < b) and {can_link}").select("a", "b")
     second = promising(meet)
-    more = verified(second, with_sets(second, sets))
+    more = verified(second, with_sets(second.select(F.col("a").alias("v")).union(second.select("b")), sets))
     roots = components(links.unionByName(more))
     owned = classes.select("v", "_fp", "first_id").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = owned.join(least, "root").select("_fp", "component_id")
-    out = signed.select(*own, "_n", "_fp").join(of, "_fp", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.expr("case when _fp is null then _id else component_id end").alias("component_id"), *[F.col(c).alias("text_hash") for c in own[1:]])
+    result = [F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("component_id"), *[F.col("_h").alias("text_hash")] * text_hash]
+    # rows without a set stay where they are; copies of one text are a skewed join that Spark can split
+    alone = signed.where("_fp is null").withColumn("component_id", F.col("_id"))
+    linked = signed.where("_fp is not null").join(of, "_fp")
+    return linked.select(*result).unionByName(alone.select(*result))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -317,6 +317,40 @@ def test_network_gradients_and_windows():
     assert net.score(some, 2, 5) == pytest.approx(net.score(some, 5, 64), rel=1e-5)
 
 
+def test_held_out_text_is_likelier_than_by_counts(spark):
+    from lakefold.llm import queries
+
+    rows = queries.op2_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert rows["s"] > rows["b"] + 0.01 * rows["n"]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from lakefold.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    found = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    bad, good = ([r["score"] for r in found if r["toxic"] == k] for k in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.75
+    assert np.mean([r["toxic"] for r in found if r["predicted"]]) > 0.7
+
+
+def test_repeated_ids_and_labels_train_once(spark):
+    docs = spark.createDataFrame([(k % 40, f"word{k % 40 % 2} filler{k % 7}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 3, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert len(model["terms"]) and toxicity.predict(model, ["word1"])[0] > toxicity.predict(model, ["word0"])[0]
+
+
+def test_blocked_product_by_brute_force():
+    rnd = np.random.default_rng(8)
+    sets = [np.unique(rnd.integers(0, 300, k)).astype(np.uint64) for k in (0, 1, 50, 200, 200, 7)] + [np.arange(5, dtype=np.uint64)] * 2
+    expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for width in (3, 64, 4096):
+        got = jaccard.product(sets, width)
+        np.fill_diagonal(got, 0)
+        assert (got == np.array(expected) - np.diag(np.diag(expected))).all()
+
+
 def test_components(spark):
     rnd = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rnd.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 360)] + [(5, 5), (None, 1)]
@@ -331,8 +365,8 @@ def test_components(spark):
         if a is not None and a != b:
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
-    for few in (0, 10_000):
-        found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+    for block in (7, 60, 10_000):
+        found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()}
         assert found == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
