@@ -95,10 +95,18 @@ def _parts(rows: list[tuple[int, int, bytes]], window: int, most: int) -> Iterat
         yield batch
 
 
+def _slices(records: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text."""
+    at = 0
+    for some in T.chunks((len(x.as_buffer()) for x in records["text"]), int, most):
+        yield records.slice(at, len(some))
+        at += len(some)
+
+
 def _pack(batches: Iterator[pa.RecordBatch], buckets: int, window: int, mer: int, most: int) -> Iterator[pa.RecordBatch]:
     T.forget()
-    for records in batches:
-        rows = sorted(zip(records["d"].to_pylist(), records["h"].to_pylist(), (x.encode() for x in records["text"].to_pylist()), strict=True), key=lambda r: r[:2])
+    for records in (part for whole in batches for part in _slices(whole, most)):
+        rows = sorted(zip(records["d"].to_pylist(), records["h"].to_pylist(), (x.as_buffer().to_pybytes() for x in records["text"]), strict=True), key=lambda r: r[:2])
         for batch in _parts(rows, window, most):
             text = b" ".join(x[3] for x in batch)
             starts, ends = T.words_of(text)
