@@ -21,8 +21,10 @@ worker process, so the cost is per distinct word.
 from __future__ import annotations
 
 import base64
+import contextlib
 import math
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import _text as T
-from .piece import SPACE, encoder
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOL = np.zeros(256, bool)
@@ -58,6 +59,11 @@ LANGUAGES = {
 SPREADS, LANGUAGE_FALLBACK = 3.5, 0.08
 SCRIPTS = {"LATIN": "LATIN", "CYRILLIC": "CYRILLIC", "GREEK": "GREEK", "CJK": "CJK", "HIRAGANA": "CJK", "KATAKANA": "CJK", "HANGUL": "CJK"}
 
+#: Of Latin-1: what is a letter but of no script by name, and what is no letter.
+_ODD = bytes([0xAA, 0xB5, 0xBA])
+_NOT_ODD = bytes(c for c in range(256) if c not in _ODD)
+_NO_LETTER = bytes(c for c in range(256) if not chr(c).isalpha())
+
 _CACHES: dict[tuple, T.WordCache] = {}
 _SCRIPT: dict[str, str] = {}
 
@@ -67,23 +73,28 @@ def _measures(piece_path: str, byte_path: str) -> T.WordCache:
     key = piece_path, byte_path
     if key not in _CACHES:
         import public_tokenizers
+        import sentencepiece
         import tiktoken
 
-        enc = encoder(piece_path)
+        pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         with open(byte_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         own = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def measure(words: list[bytes]) -> list[tuple[bytes, int]]:
             texts = [w.decode() for w in words]
-            return [(enc.pack(SPACE + t), len(own.encode_ordinary(" " + t))) for t in texts]
+            return [(array("I", ids).tobytes(), len(own.encode_ordinary(" " + t))) for t, ids in zip(texts, pieces.encode(texts, num_threads=1), strict=True)]
 
-        _CACHES[key] = T.WordCache(measure)
+        _CACHES[key] = T.WordCache(measure, 72 << 20)
     return _CACHES[key]
 
 
 def script_of(text: str) -> str:
     """The script of most letters among the distinct characters, weighted by their count."""
+    with contextlib.suppress(UnicodeEncodeError):
+        raw = text.encode("latin-1")
+        if not raw.translate(None, _NOT_ODD):  # all its letters are Latin
+            return "LATIN" if raw.translate(None, _NO_LETTER) else "OTHER"
     found: dict[str, int] = {}
     chars, counts = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_counts=True)
     for c, n in zip(chars.tolist(), counts.tolist(), strict=True):
@@ -172,7 +183,7 @@ NEW = {"n_words": LongType(), "word_chars": LongType(), "n_symbols": LongType(),
 
 def _judge(batches: Iterator[pa.RecordBatch], piece_path: str, byte_path: str, at: int) -> Iterator[pa.RecordBatch]:
     cache = _measures(piece_path, byte_path)
-    T.forget(cache, encoder(piece_path))
+    T.forget(cache)
     for records in batches:
         rows = []
         for text, lang in zip(records["_text"].to_pylist(), records["_lang"].to_pylist(), strict=True):
