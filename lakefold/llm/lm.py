@@ -6,15 +6,16 @@ end, and one symbol for all other words; such a word's probability is the symbol
 (smoothed as in the unigram model) of the other words. Output softmax is factored into classes of
 about equal weight, so a token costs a class and its own class's members, not the vocabulary. Training
 is truncated backpropagation: windows of STEPS tokens whose gradient stays inside, while the state goes
-on to the next window, in lanes that hold one document after another. Scoring carries the state
+on to the next window, in lanes that hold one document after another (of a long one, SEGMENT tokens; it
+goes on in other lanes, so that no lane outlasts the others). Scoring carries the state
 through the whole document likewise, so a score is that of the complete text, however long.
 
 Counts are exact over all training documents, and all of them train the network, in one task for each
 TRAINER_TOKENS tokens. Each trains a copy from the same start on its part, as a stream; the copies are
-averaged in two levels. So what training reads,
-and how many tasks read it, grows with the input. A task reads its part once, and again until it has
+averaged in two levels. So what training reads, and how many tasks read it, grows with the input. A task reads its part once, and again until it has
 made LEAST_UPDATES updates, whatever the size of the input.
-The CACHE most frequent words are sent to the tasks with their counts; all others are joined.
+The CACHE most frequent words are sent to the tasks with their counts; all others are joined, together
+with one row for each document, whose word (white space and a hash) meets none and spreads evenly.
 
 Null and empty texts are the end alone. Null ids count as the empty text where ids choose training
 rows. Rows equal in id and text get equal results. Extra columns are ignored.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,9 +37,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import _text as T
 from ._cluster import checkpoint, most_frequent
 
-VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 1000, 32, 24, 32, 64, 4e-3, 3
+VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 2000, 45, 24, 32, 512, 3e-2, 3
+#: Tokens of a document that one lane learns from; a longer one goes on in other lanes.
+SEGMENT = 2048
 #: The training documents train the network in a task for each TRAINER_TOKENS tokens, TRAIN_TOKENS at a time.
-TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 2_500_000, 400_000, 100
+TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 8_000_000, 1_600_000, 100
 CACHE, SCORE_LANES = 100_000, 512
 #: The end's spelling: no word holds white space.
 END = b"\n"
@@ -47,6 +51,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in x's own memory."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)  # what is beyond would overflow
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Gru:
     """The network's weights, forward and backward passes."""
 
@@ -74,61 +87,82 @@ class Gru:
         }
 
     def hidden_states(self, inputs: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of inputs (steps, lanes), starting from h; an end resets the state."""
+        """States (steps, lanes, hidden) after each step of inputs (steps, lanes), starting from h; an end resets the state.
+
+        Inside, and in what keep gets, lanes lie along the rows, so that the gates' parts are whole blocks of memory.
+        """
         w, n = self.w, self.hidden
-        gates = w["x"][inputs]
-        going = (inputs != self.end).astype(np.float32)[:, :, None]
-        out = np.empty((*inputs.shape, n), np.float32)
+        x, u, b = w["x"], np.ascontiguousarray(w["u"].T), w["b"][:, None]
+        going, h = inputs != self.end, np.ascontiguousarray(h.T)
+        out = np.empty((len(inputs), n, inputs.shape[1]), np.float32)
         for t in range(len(inputs)):
-            h = h * going[t]
-            g = h @ w["u"]
-            zr = 0.5 * np.tanh(0.5 * (gates[t, :, : 2 * n] + g[:, : 2 * n])) + 0.5
-            z, r = zr[:, :n], zr[:, n:]
-            a = g[:, 2 * n :] + w["b"]
-            c = np.tanh(gates[t, :, 2 * n :] + r * a)
+            if not going[t].all():
+                h = h * going[t]
+            gates, g = np.ascontiguousarray(x.take(inputs[t], 0).T), u @ h
+            zr = logistic(gates[: 2 * n] + g[: 2 * n])
+            z, r = zr[:n], zr[n:]
+            a = g[2 * n :] + b
+            c = r * a
+            c += gates[2 * n :]
+            # the hyperbolic tangent
+            c *= 2
+            c = logistic(c)
+            c *= 2
+            c -= 1
             if keep is not None:
                 keep.append((h, z, r, a, c))
-            h = c + z * (h - c)
-            out[t] = h
-        return out, h
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
+        return np.ascontiguousarray(out.transpose(0, 2, 1)), np.ascontiguousarray(h.T)
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
         """Log probability of each target after each state (rows); with grads, also the gradient by the states of its negative sum."""
         w = self.w
-        rows = np.arange(len(targets))
-        logits = states @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        own = self.of[targets]
-        out = (logits[rows, own] - np.log(total[:, 0])).astype(np.float64)
+        # rows of one class side by side
+        own = self.of[targets].astype(np.uint16)
+        by = np.argsort(own, kind="stable")
+        own, place, states = own[by], self.place[targets[by]], states[by]
+        cuts, rows = np.searchsorted(own, np.arange(len(self.begin))), np.arange(len(by))
+        logits = w["wc"].T @ states.T
+        logits += w["bc"][:, None]
+        logits -= logits.max(0)
+        held = logits[own, rows].astype(np.float64)
+        p = np.exp(logits, out=logits)
+        total = p.sum(0)
+        held -= np.log(total)
         back = None
         if grads is not None:
             p /= total
-            p[rows, own] -= 1
-            grads["wc"], grads["bc"] = states.T @ p, p.sum(0)
-            back = p @ w["wc"].T
+            p[own, rows] -= 1
+            grads["wc"], grads["bc"] = (p @ states).T, p.sum(1)
+            back = p.T @ w["wc"].T
             grads["wo"], grads["bo"] = np.zeros_like(w["wo"]), np.zeros_like(w["bo"])
-        by = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[by], np.arange(len(self.begin)))
-        place = self.place[targets]
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = int(self.begin[k]), int(self.begin[k + 1])
             if b - a == 1:
                 continue
-            some = by[cuts[k] : cuts[k + 1]]
-            s = states[some]
-            inner = s @ w["wo"][a:b].T + w["bo"][a:b]
-            inner -= inner.max(1, keepdims=True)
-            q = np.exp(inner)
-            total = q.sum(1, keepdims=True)
-            at, line = place[some] - a, np.arange(len(some))
-            out[some] += inner[line, at] - np.log(total[:, 0])
+            some = slice(int(cuts[k]), int(cuts[k + 1]))
+            s, at = states[some], place[some] - a
+            line, wo = rows[: len(at)], w["wo"][a:b]
+            inner = wo @ s.T
+            inner += w["bo"][a:b, None]
+            inner -= inner.max(0)
+            held[some] += inner[at, line]
+            q = np.exp(inner, out=inner)
+            total = q.sum(0)
+            held[some] -= np.log(total)
             if grads is not None:
                 q /= total
-                q[line, at] -= 1
-                grads["wo"][a:b], grads["bo"][a:b] = q.T @ s, q.sum(0)
-                back[some] += q @ w["wo"][a:b]
+                q[at, line] -= 1
+                grads["wo"][a:b], grads["bo"][a:b] = q @ s, q.sum(1)
+                back[some] += q.T @ wo
+        out = np.empty_like(held)
+        out[by] = held
+        if back is not None:
+            into = np.empty_like(back)
+            into[by] = back
+            back = into
         return out, back
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
@@ -139,28 +173,35 @@ class Gru:
         logp, back = self.log_probs(states.reshape(-1, n)[at], targets.ravel()[at], grads)
         into = np.zeros((mask.size, n), np.float32)
         into[at] = back
-        into = into.reshape(states.shape)
-        going = (inputs != self.end).astype(np.float32)[:, :, None]
-        dgates = np.empty((*inputs.shape, 3 * n), np.float32)
-        du, db, dh = np.zeros_like(w["u"]), np.zeros_like(w["b"]), np.zeros_like(h)
+        into = np.ascontiguousarray(into.reshape(states.shape).transpose(0, 2, 1))
+        going = inputs != self.end
+        dgates = np.empty((len(inputs), 3 * n, inputs.shape[1]), np.float32)
+        du, db, dh = np.zeros_like(w["u"]), np.zeros_like(w["b"]), np.zeros_like(into[0])
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, a, c = keep[t]
-            dh = dh + into[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            da = dc * r
-            dr = dc * a * r * (1 - r)
-            dg = np.concatenate([dz, dr, da], 1)
-            dgates[t, :, : 2 * n], dgates[t, :, 2 * n :] = dg[:, : 2 * n], dc
-            du += before.T @ dg
-            db += da.sum(0)
-            dh = (dh * z + dg @ w["u"].T) * going[t]
-        ids = inputs.ravel()
-        by = np.argsort(ids, kind="stable")
-        used, first = np.unique(ids[by], return_index=True)
-        dx = np.zeros_like(w["x"])
-        dx[used] = np.add.reduceat(dgates.reshape(-1, 3 * n)[by], first)
-        return -logp.sum() / max(1, len(at)), {"x": dx, "u": du, "b": db, **grads}, last
+            dh += into[t]
+            part, rest = dgates[t], 1 - z
+            dc = c * c
+            np.subtract(1, dc, out=dc)
+            dc *= rest
+            dc *= dh
+            rest *= z
+            rest *= before - c
+            np.multiply(rest, dh, out=part[:n])
+            da = np.multiply(dc, r, out=part[2 * n :])
+            dr = np.multiply(da, a, out=part[n : 2 * n])
+            dr *= 1 - r
+            du += before @ part.T
+            db += da.sum(1)
+            dh *= z
+            dh += w["u"] @ part
+            if not going[t].all():
+                dh *= going[t]
+            # what the input's own part of the candidate gets, which the reset gate does not hold back
+            part[2 * n :] = dc
+        ids = inputs.ravel().astype(np.int64)
+        dx = np.stack([np.bincount(ids, dgates[:, k].ravel(), len(w["x"])) for k in range(3 * n)], 1)
+        return -logp.sum() / max(1, len(at)), {"x": dx.astype(np.float32), "u": du, "b": db, **grads}, last
 
     def train(self, docs: list[np.ndarray], updates: int = 0, planned: int = 0, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> float:
         """Passes over docs (ids without the end) until so many updates are made, and one whole pass at least; the last loss.
@@ -169,24 +210,29 @@ class Gru:
         """
         if not docs:
             return 0.0
+        docs, goes_on, cut = segments(docs)
         size = [len(d) + 1 for d in docs]
         # lanes of one length: none is left alone with one long document
         lanes = max(4, min(lanes, sum(size) // max(size)))
         rnd, begun, loss = np.random.default_rng((SEED, self.done)), self.done, 0.0
         while self.done == begun or self.done - begun < updates:
             order = rnd.permutation(len(docs))
-            tokens, _, size = lanes_of([docs[k] for k in order], lanes, self.end)
+            tokens, owner, size = lanes_of([docs[k] for k in order], lanes, self.end)
             windows = -(-len(tokens) // steps)
             planned = planned or max(1, -(-updates // windows)) * windows
             h = np.zeros((tokens.shape[1], self.hidden), np.float32)
             inputs = np.concatenate([np.full((1, tokens.shape[1]), self.end), tokens[:-1]])
+            # a word that a segment takes over was learnt in the one before, and a cut is no end
+            learnt = (np.arange(len(tokens))[:, None] < size) & ~((inputs == self.end) & goes_on[order][owner]) & ~((tokens == self.end) & cut[order][owner])
             for t in range(0, len(tokens), steps):
                 active = int((size > t).sum())
                 part = slice(t, t + steps)
-                mask = (np.arange(t, min(t + steps, len(tokens)))[:, None] < size[:active]).astype(bool)
+                mask = learnt[part, :active]
+                if not mask.any():
+                    continue
                 loss, grads, h = self.gradients(inputs[part, :active], tokens[part, :active], mask, h[:active])
                 # smaller where few lanes are left to speak for the rest
-                self.update(grads, max(1, mask.sum()), rate * (1 - 0.9 * min(1, self.done / planned)) * active / len(size))
+                self.update(grads, mask.sum(), rate * (1 - 0.9 * min(1, self.done / planned)) * active / len(size))
         return loss
 
     def update(self, grads: dict, count: int, rate: float) -> None:
@@ -227,6 +273,17 @@ class Gru:
         return out.getvalue()
 
 
+def segments(docs: list[np.ndarray], most: int = SEGMENT) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Documents in parts of `most` tokens, each opened by the last token of the part before it; which parts go on from another, and which are cut off."""
+    out, goes_on, cut = [], [], []
+    for d in docs:
+        for a in range(0, max(1, len(d)), most):
+            out.append(d[max(0, a - 1) : a + most])
+            goes_on.append(a > 0)
+            cut.append(a + most < len(d))
+    return out, np.array(goes_on, bool), np.array(cut, bool)
+
+
 def lanes_of(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents, each with its end, dealt to lanes of about equal length: tokens and owners (steps, lanes), and the lanes' lengths, falling."""
     heap = [(0, k) for k in range(min(lanes, len(docs)))]
@@ -267,7 +324,7 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[p
 
 
 def _ids(words: list[bytes], index: dict, other: int) -> np.ndarray:
-    return np.fromiter((index.get(w, other) for w in words), np.int32, len(words))
+    return np.fromiter(map(index.get, words, itertools.repeat(other)), np.int32, len(words))
 
 
 def _train(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -305,49 +362,46 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, weights, total: float, other_total: float) -> Iterator[pa.RecordBatch]:
+    """For each document a row with what the cache's words give, under a word that no text holds, and a row for each of its other words."""
     T.forget()
     index, counts, known, known_counts = model.value
     net = Gru(counts)
     net.w = weights.value
-    other = len(counts) - 2
+    other, unknown = len(counts) - 2, len(known)
     base = np.log10((known_counts + 0.1) / total)
-    share = np.where(np.arange(len(known)) < other, 0, np.log10((known_counts + 0.1) / other_total))
+    share = np.where(np.arange(unknown) < other, 0, np.log10((known_counts + 0.1) / other_total))
     end_at = known[END]
     share[end_at] = 0
     to_vocabulary = np.array([index.get(w, net.end if w == END else other) for w in known] + [other], np.int32)
     for records in batches:
         for a in range(0, len(records), 4096):
             rows = records.slice(a, 4096)
-            docs, sums = [], []
-            for text in rows["text"].to_pylist():
-                ids = _ids(words_of(text), known, len(known))
+            docs, sums, rare, times, owner = [], [], [], [], []
+            for i, text in enumerate(rows["text"].to_pylist()):
+                words = words_of(text)
+                ids = _ids(words, known, unknown)
                 docs.append(to_vocabulary[ids])
-                seen = ids[ids < len(known)]
+                seen = ids[ids < unknown]
                 sums.append((len(ids) + 1, len(seen) + 1, base[seen].sum() + base[end_at], share[seen].sum()))
+                found = Counter(map(words.__getitem__, np.flatnonzero(ids == unknown).tolist()))
+                rare += found
+                times += found.values()
+                owner.append(len(found))
             logp = net.score(docs) / np.log(10)
             n, k, b, s = (np.array(x) for x in zip(*sums, strict=True))
-            yield pa.RecordBatch.from_arrays([rows["d"], rows["h"], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(b), pa.array(logp + s)], ["d", "h", "n_tokens", "known", "base", "score"])
-
-
-def _rare(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """Words outside the cache per document. Copies of a document give the same rows, which are summed and divided by their number."""
-    T.forget()
-    known = model.value[2]
-    for records in batches:
-        d, h, word, n = [], [], [], []
-        for i, j, text in zip(records["d"].to_pylist(), records["h"].to_pylist(), records["text"].to_pylist(), strict=True):
-            found = Counter(w for w in words_of(text) if w not in known)
-            d += [i] * len(found)
-            h += [j] * len(found)
-            word += found
-            n += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int32()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["d", "h", "word", "n"])
+            values = [pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(b), pa.array(logp + s)]
+            own = [END + d.to_bytes(8, "little", signed=True) for d in rows["h"].to_pylist()]
+            schema = pa.schema([("d", pa.int64()), ("h", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("doc", pa.struct([("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))])
+            yield pa.RecordBatch.from_arrays([rows["d"], rows["h"], pa.array(own, pa.binary()), pa.array([0] * len(rows), pa.int64()), pa.StructArray.from_arrays(values, fields=list(schema.field("doc").type))], schema=schema)
+            if rare:
+                at = pa.array(np.repeat(np.arange(len(rows)), owner))
+                yield pa.RecordBatch.from_arrays([rows["d"].take(at), rows["h"].take(at), pa.array(rare, pa.binary()), pa.array(times, pa.int64()), pa.nulls(len(rare), schema.field("doc").type)], schema=schema)
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, n_tokens, n_known, train_tokens, base_score, score); `learn` holds for the training rows."""
     spark = docs.sparkSession
-    held = docs.select(F.col(id_col).cast("long").alias("d"), F.hash(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    held = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     training = held.where("learn")
     counts = checkpoint(training.select("text").mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -381,17 +435,18 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
         net.w = {k: loaded[k] for k in Gru.NAMES}
     weights = spark.sparkContext.broadcast(net.w)
 
-    texts = held.select("d", "h", "text")
-    scored = texts.mapInArrow(lambda it: _score(it, model, weights, total, other_total), "d long, h int, n_tokens long, known long, base double, score double")
-    rare = texts.mapInArrow(lambda it: _rare(it, model), "d long, h int, word binary, n long")
+    schema = "d long, h long, word binary, n long, doc struct<n_tokens: long, known: long, base: double, score: double>"
+    found = held.select("d", "h", "text").mapInArrow(lambda it: _score(it, model, weights, total, other_total), schema)
     c = F.coalesce(F.col("c"), F.lit(0))
-    joined = rare.join(counts, "word", "left")
     log_base, log_share = F.log10((c + 0.1) / F.lit(total)), F.log10((c + 0.1) / F.lit(other_total))
-    # rows of copies are told by their number beside the join, which has no null words
-    word_sums = [F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * log_base).alias("base_more"), F.sum(F.col("n") * log_share).alias("score_more")]
-    copies = texts.groupBy("d", "h").agg(F.count("*").alias("copies")).withColumns({x: F.lit(0.0) for x in ("more", "base_more", "score_more")})
-    each = joined.groupBy("d", "h").agg(*word_sums).withColumn("copies", F.lit(0).cast("long")).withColumn("more", F.col("more").cast("double"))
-    both = copies.unionByName(each).groupBy("d", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "more", "base_more", "score_more")])
-    sums = both.select(F.col("d").alias("d_"), F.col("h").alias("h_"), *[(F.col(x) / F.col("copies")).alias(x) for x in ("more", "base_more", "score_more")])
-    both = scored.join(sums, scored["d"].eqNullSafe(sums["d_"]) & (scored["h"] == sums["h_"]), "left")
-    return both.select(F.col("d").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"))
+    sums = found.join(counts, "word", "left").groupBy("d", "h").agg(
+        F.count("doc").alias("copies"),
+        *[F.max(f"doc.{x}").alias(x) for x in ("n_tokens", "known", "base", "score")],
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
+        F.sum(F.col("n") * log_base).alias("base_more"),
+        F.sum(F.col("n") * log_share).alias("score_more"),
+    )
+    # copies of a document have given their words together
+    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    part = lambda x: F.col(x) / F.col("copies")
+    return each.select(F.col("d").alias(id_col), "n_tokens", (F.col("known") + part("more")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + part("base_more")).alias("base_score"), (F.col("score") + part("score_more")).alias("score"))
