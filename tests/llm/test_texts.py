@@ -320,7 +320,7 @@ def test_network_gradients_and_windows():
 def test_segments_teach_each_token_once():
     docs = [np.arange(k) for k in (0, 1, 3, 4, 5, 12, 13)]
     parts, goes_on, cut = lm.segments(docs, 4)
-    learnt = [[*p[1:] if g else p, *[] if c else ["end"]] for p, g, c in zip(parts, goes_on, cut, strict=True)]
+    learnt = [[*(p[1:] if g else p), *([] if c else ["end"])] for p, g, c in zip(parts, goes_on, cut, strict=True)]
     assert [x for p in learnt for x in p] == [x for d in docs for x in (*d, "end")]
     assert all(p[0] == q[-1] for q, p, g in zip(parts, parts[1:], goes_on[1:], strict=False) if g)
 
