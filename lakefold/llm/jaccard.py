@@ -18,9 +18,12 @@ shingles with its transpose, in blocks of columns and pairs, and computes only e
    At last, of each column only entries between different components are left: those of classes outside
    its leader's component with the others.
 4. For these overlaps are accumulated over the leading columns first. Bounds from the sizes, from the places in
-   both sets and from that sum discard entries before their sets are read. For the rest, overlaps are
+   both sets and from that sum discard entries before their sets are read; all that two sets share lies from
+   their first common column on, so a pair that can link passes the bound of its places there. Columns of up to
+   FEW classes write such pairs; the rest deal their classes into parts and multiply each two parts as in 3, so
+   a large column, however similar its texts, writes classes and stars and no pairs. For the pairs, overlaps are
    accumulated over blocks of the sets in hash order, and a pair goes as soon as what is left can't
-   lift it over the bound. Only texts that such a pair names are read for their sets.
+   lift it over the bound. Only texts that such a pair or block names are read for their sets.
 
 No pair of one component is generated once it is known to be one, every other entry of the product
 is checked exactly, and nothing is capped. Shingles are told apart by 64-bit hashes.
@@ -47,6 +50,8 @@ from ._cluster import checkpoint, components, most_frequent
 FREQUENT = 1 << 20
 #: Classes that meet in a block, and shingles that a block is meant to hold.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 22
+#: Classes of a column whose last entries are written as pairs; those of a larger one are multiplied in blocks.
+FEW = 64
 #: Bits of the filters that keep columns and sets without a candidate at home.
 FILTER_BITS = 1 << 24
 
@@ -195,7 +200,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[tuple
 
 
 def _flag(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Of rows (r, g, k, v, n, lead) in blocks: those with a partner that the leading columns and the sizes leave possible."""
+    """Of rows (r, g, band, k, v, n, lead) in blocks: those with a partner that the leading columns and the sizes leave possible.
+
+    With more columns (c, at) the partner is of another component c, and the places at in both sets leave it possible too.
+    """
     T.forget()
     num, den = t.numerator, t.denominator
     for key, held in _blocks(batches, 4):
@@ -206,7 +214,11 @@ def _flag(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordB
         more, less = np.maximum.outer(n, n), np.minimum.outer(n, n)
         found = product([x.values.to_numpy() for x in rows["lead"]])
         rest = -(-more * num // den) - 1
-        able = (found > 0) & (found + rest >= -(-(more + less) * num // (num + den))) & (less * den >= more * num)
+        need = -(-(more + less) * num // (num + den))
+        able = (found > 0) & (found + rest >= need) & (less * den >= more * num)
+        if "c" in rows.column_names:
+            c, after = rows["c"].to_numpy(), n - rows["at"].to_numpy()
+            able &= np.not_equal.outer(c, c) & (np.minimum.outer(after, after) >= need)
         np.fill_diagonal(able, False)
         some = np.flatnonzero(able.any(1))
         v = rows["v"].to_numpy()[some]
@@ -290,11 +302,8 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
     # what two sets of these sizes must have in common, and may still have beyond their leading columns
     need = f"ceil((n + m) * {num}L / {num + den}D - 1e-9)"
     rest = f"ceil(greatest(n, m) * {num}L / {den}D - 1e-9) - 1"
-    alike = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    bound = f"least(aa, ba) + 1 + least(n - aa, m - ba) - 1 >= {need}"
-    # similar sets share one of the first n - ceil(2 t / (1 + t) n) + 1 columns of the smaller set
-    short = f"if(n <= m, aa <= n - ceil(n * {2 * num}L / {num + den}D - 1e-9), ba <= m - ceil(m * {2 * num}L / {num + den}D - 1e-9))"
-    can_link = f"{alike} and {short} and {bound}"
+    # holds at the first column that two similar sets share; also bounds the sizes' ratio and the smaller set's places
+    can_link = f"least(n - aa, m - ba) >= {need}"
 
     def promising(meet: DataFrame) -> DataFrame:
         """Pairs of meet, once each, whose leading columns have enough in common."""
@@ -339,14 +348,25 @@ def near_classes(docs: DataFrame, n: int = 3, threshold: Fraction = Fraction(9,
     # entries with their component so far, of the columns that hold several
     joined = components(links)
     now = shared.join(joined.select(F.col("node").alias("v"), "root"), "v", "left").select("g", "v", "n", "at", "leader", F.coalesce("root", "v").alias("c"))
-    open_columns = now.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min(F.when(F.col("v") == F.col("leader"), F.col("c"))).alias("lead_c")).where("x <> y").select("g", "lead_c")
-    left = checkpoint(now.join(open_columns, "g").select("g", "v", "n", "at", "c", "lead_c"))
-    some = left.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
-    other = left.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
+    open_columns = now.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min(F.when(F.col("v") == F.col("leader"), F.col("c"))).alias("lead_c"), F.count("*").alias("classes"), F.sum("n").alias("held")).where("x <> y").drop("x", "y")
+    left = checkpoint(now.join(open_columns, "g").select("g", "v", "n", "at", "c", "lead_c", "classes", "held"))
+    few = left.where(f"classes <= {FEW}")
+    some = few.where("c <> lead_c").select("g", F.col("v").alias("a"), "n", F.col("at").alias("aa"), F.col("c").alias("ac"), "lead_c")
+    other = few.select("g", F.col("v").alias("b"), F.col("n").alias("m"), F.col("at").alias("ba"), F.col("c").alias("bc"))
     meet = some.join(other, "g").where(f"ac <> bc and (bc = lead_c or a < b) and {can_link}").select("a", "b")
     second = promising(meet)
-    more = verified(second, with_sets(second.select(F.col("a").alias("v")).union(second.select("b")), sets))
-    roots = components(links.unionByName(more))
+
+    # parts of large columns, each with each other one
+    parts = F.ceil(F.greatest(F.col("classes") / (2 * BLOCK), F.col("held") * 2 / BLOCK_SHINGLES))
+    dealt = left.where(f"classes > {FEW}").withColumn("parts", parts).withColumn("i", F.expr("pmod(xxhash64(v), parts)"))
+    dealt = dealt.withColumn("j", F.explode(F.expr("if(parts = 1, array(0L), filter(sequence(0L, parts - 1), x -> x <> i))")))
+    dealt = dealt.select(F.least("i", "j").alias("r"), "g", F.greatest("i", "j").alias("band"), F.lit(0).cast("long").alias("k"), "v", "n", "c", "at")
+    apart = in_blocks(dealt.join(classes.select("v", "lead"), "v").select(*place, "v", "n", "lead", "c", "at"))
+    apart = checkpoint(apart.mapInArrow(lambda it: _flag(it, t), "r long, g long, band long, k long, v long"))
+
+    sets = with_sets(second.select(F.col("a").alias("v")).union(second.select("b")).union(apart.select("v")), sets)
+    stars = in_blocks(apart.join(sets, "v").select(*place, "v", "s")).mapInArrow(lambda it: _join(it, t), "a long, b long")
+    roots = components(links.unionByName(verified(second, sets)).unionByName(stars))
     owned = classes.select("v", "_fp", "first_id").join(roots.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = owned.join(least, "root").select("_fp", "component_id")

@@ -136,6 +136,50 @@ def test_jaccard_by_brute_force(docs, rows, no_docs, n, num, den):
         assert jaccard.one_of_each(docs).count() < len(rows)
 
 
+def rows_of_joins(spark, after: int = -1) -> tuple[int, int]:
+    """The most rows that a join has made in the queries after one, and the last query's number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    list_of = lambda x: [x.apply(k) for k in range(x.size())]
+    most, last = 0, after
+    for e in list_of(store.executionsList()):
+        if e.executionId() <= after:
+            continue
+        last, values = max(last, e.executionId()), store.executionMetrics(e.executionId())
+        for node in list_of(store.planGraph(e.executionId()).allNodes()):
+            for m in list_of(node.metrics()) if "Join" in node.name() else []:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most, last
+
+
+def test_jaccard_of_large_groups_writes_no_pairs(spark, monkeypatch):
+    from fractions import Fraction
+
+    # copies share their first columns, but few are similar enough
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    rnd, texts = random.Random(5), []
+    for name, size, edits in (("a", 150, (2, 3, 4, 5)), ("b", 60, (1,))):
+        for k in range(300):
+            body = [f"{name}{x}" for x in range(size)]
+            for x in rnd.sample(range(5, size - 5, 3), rnd.choice(edits)):
+                body[x] = f"own{k}{name}"
+            texts.append(" ".join(body))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, texts)]
+    root = list(range(len(texts)))
+    near = [[j for j in range(len(texts)) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])] for a in sets]
+    while (low := [min(root[j] for j in x) for x in near]) != root:
+        root = low
+    assert 50 < len(set(root[:300])) < 250 and len(set(root[300:])) > 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    df.count()
+    _, last = rows_of_joins(spark)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_classes(df, 5, Fraction(4, 5)).collect()}
+    assert [found[k] for k in range(len(texts))] == root
+    made, _ = rows_of_joins(spark, last)
+    assert made < 40 * len(texts), made
+
+
 def test_quality_by_brute_force(docs, rows, no_docs):
     def base(t):
         w = words(t)
