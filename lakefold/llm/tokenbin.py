@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._text import WordCache, chunks, forget, pieces
+from ._text import LONGEST, WordCache, forget, pieces, remembered
 
 #: Text that one file is meant to hold.
 FILE_BYTES = 256 << 20
@@ -41,10 +41,47 @@ _UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^
 #: A sign between a letter and white space is a unit of its own.
 _MARK = re.compile(rb"[.,;:!?](?=[ \n])(?<=[a-z\xdf-\xf6\xf8-\xff].)")
 
-_ENCODERS: dict[tuple, WordCache] = {}
+_ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def unit_encoder(path: str, width: int) -> WordCache:
+class _Seen(dict):
+    """Results of a function of one unit, remembered in two generations of `limit` bytes; a unit that is there costs a look-up alone."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.old, self.held = encode, limit, {}, 0
+
+    def __missing__(self, unit: bytes) -> bytes:
+        out = self.old.get(unit)
+        if out is None:
+            out = self.encode(unit)
+        if len(unit) <= LONGEST:
+            self.held += len(unit) + 250
+            if self.held > self.limit:
+                self.old, self.held = dict(self), len(unit) + 250
+                self.clear()
+            self[unit] = out
+        return out
+
+
+class UnitEncoder:
+    """The ids' bytes of each of units_of() one text: Latin-1 units one by one, other words in the library's batches."""
+
+    def __init__(self, short, encode, limit: int = 64 << 20):
+        self.seen, self.words = _Seen(short, limit), WordCache(encode, limit)
+        remembered(self)
+
+    def __call__(self, units: list) -> Iterable[bytes]:
+        return self.words(units) if units and isinstance(units[0], str) else map(self.seen.__getitem__, units)
+
+    def forget(self) -> bool:
+        """Whether there was anything to forget; the words are forgotten apart."""
+        held = bool(self.seen)
+        self.seen.clear()
+        self.seen.old, self.seen.held = {}, 0
+        return held
+
+
+def unit_encoder(path: str, width: int) -> UnitEncoder:
     """Maps units_of() texts to their ids' bytes with the tokenizers library; one per worker process.
 
     The vocabulary's rules lower letters, drop white space, never join text across it, and part letters
@@ -59,17 +96,21 @@ def unit_encoder(path: str, width: int) -> WordCache:
         # the library's spelling of each character's bytes
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         spelling = {c: level.pre_tokenize_str(chr(c))[0][0] for c in _KNOWN if c > 32}
+        assert all(spelling[c] == chr(c) for c in _KNOWN if 32 < c < 127)
 
         def short(word: bytes) -> bytes:
             """Unit by unit, without the steps that leave known bytes in lower case as they are."""
-            units = [word] if word.isalpha() else _UNITS.findall(word)
-            return array(kind, [t.id for u in units for t in tokenize(u.decode("latin-1").translate(spelling))]).tobytes()
+            if word.isalpha():
+                return array(kind, [t.id for t in tokenize(word.decode())]).tobytes()
+            units = [u.decode("latin-1") for u in _UNITS.findall(word)]
+            if not word.isascii():
+                units = [u.translate(spelling) for u in units]
+            return array(kind, [t.id for u in units for t in tokenize(u)]).tobytes()
 
-        def encode(words: list) -> list[bytes]:
-            rest = iter(tok.encode_batch_fast([w for w in words if isinstance(w, str)], add_special_tokens=False))
-            return [short(w) if isinstance(w, bytes) else array(kind, next(rest).ids).tobytes() for w in words]
+        def encode(words: list[str]) -> list[bytes]:
+            return [array(kind, x.ids).tobytes() for x in tok.encode_batch_fast(words, add_special_tokens=False)]
 
-        _ENCODERS[path, width] = WordCache(encode, 64 << 20)
+        _ENCODERS[path, width] = UnitEncoder(short, encode)
     return _ENCODERS[path, width]
 
 
@@ -109,7 +150,7 @@ def _pieces(text: str) -> Iterator[tuple[str, bool]]:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
     encode = unit_encoder(path, width)
-    forget(encode)
+    forget(encode, encode.words)
     end = end_id.to_bytes(width, "little")
     fs, root = _fs(folder)
     part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
@@ -119,18 +160,13 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     with fs.open_output_stream(f"{root}/.ids-{attempt}") as out:
         for records in batches:
             # long texts come in pieces, so what is held is bounded; the end follows the last one
-            for some in chunks(((x, k) for t in records["text"] for x, k in _pieces(t.as_py() or "")), lambda p: len(p[0]), 2 << 20):
-                units = [units_of(x) for x, _ in some]
-                ids = encode([u for x in units for u in x])
-                at = 0
-                for x, (_, last) in zip(units, some, strict=True):
-                    body = b"".join(ids[at : at + len(x)]) + (end if last else b"")
-                    at += len(x)
-                    held += len(body)
-                    out.write(body)
-                    if last:
-                        sizes.append(held // width)
-                        held = 0
+            for x, last in (p for t in records["text"] for p in _pieces(t.as_py() or "")):
+                body = b"".join(encode(units_of(x))) + (end if last else b"")
+                held += len(body)
+                out.write(body)
+                if last:
+                    sizes.append(held // width)
+                    held = 0
             docs.append(records["d"].to_numpy())
     offsets = np.cumsum([0, *sizes]).astype("<u8")
     for kind, data in (("docs", np.concatenate(docs).astype("<i8")), ("offsets", offsets)):

@@ -84,6 +84,17 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(b"".join(enc(tokenbin.units_of(t))), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_units_are_encoded_once_while_they_fit():
+    met = []
+    enc = tokenbin.UnitEncoder(lambda u: met.append(u) or u + b"!", lambda words: [w.encode() for w in words], limit=2000)
+    few = [b"a", b"b", b"a", b"x" * 100]
+    assert b"".join(enc(few)) == b"a!b!a!" + b"x" * 100 + b"!" and b"".join(enc([b"a", b"b"])) == b"a!b!" and met == [b"a", b"b", b"x" * 100]
+    many = [str(k % 50).encode() for k in range(1000)]
+    assert list(enc(many)) == [u + b"!" for u in many] and enc.seen.held <= 2000 and len(enc.seen) + len(enc.seen.old) <= 16
+    assert list(enc(["日", "本"])) == ["日".encode(), "本".encode()] and list(enc([])) == []
+    assert enc.forget() and not enc.forget() and not enc.seen.old
+
+
 def test_pieces_equal_the_library(docs, rows, no_docs):
     enc = piece.encoder(PIECE)
     rnd = np.random.default_rng(2)
