@@ -42,7 +42,9 @@ VOCABULARY, CLASSES, HIDDEN, STEPS, LANES, RATE, SEED = 2000, 45, 24, 32, 512, 3
 SEGMENT = 2048
 #: The training documents train the network in a task for each TRAINER_TOKENS tokens, TRAIN_TOKENS at a time.
 TRAINER_TOKENS, TRAIN_TOKENS, LEAST_UPDATES = 8_000_000, 1_600_000, 100
-CACHE, SCORE_LANES = 100_000, 512
+CACHE, SCORE_LANES, LONGEST_WINDOW = 100_000, 512, 1024
+#: exp of what is within, and sums of such, keep their precision.
+SAFE = 60
 #: The end's spelling: no word holds white space.
 END = b"\n"
 
@@ -52,12 +54,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)), in x's own memory."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)  # what is beyond would overflow
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    """1 / (1 + exp(-x)), in x's own memory, by the hyperbolic tangent of its half, which no x overflows."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Gru:
@@ -104,11 +106,7 @@ class Gru:
             a = g[2 * n :] + b
             c = r * a
             c += gates[2 * n :]
-            # the hyperbolic tangent
-            c *= 2
-            c = logistic(c)
-            c *= 2
-            c -= 1
+            np.tanh(c, out=c)
             if keep is not None:
                 keep.append((h, z, r, a, c))
             h = np.subtract(h, c, out=out[t])
@@ -126,7 +124,10 @@ class Gru:
         cuts, rows = np.searchsorted(own, np.arange(len(self.begin))), np.arange(len(by))
         logits = w["wc"].T @ states.T
         logits += w["bc"][:, None]
-        logits -= logits.max(0)
+        # no state is beyond 1, so few weights are so large that exp needs its arguments shifted
+        if (np.abs(w["wc"]).sum(0) + np.abs(w["bc"])).max() > SAFE:
+            logits -= logits.max(0)
+        most = np.maximum.reduceat(np.abs(w["wo"]).sum(1) + np.abs(w["bo"]), self.begin[:-1])
         held = logits[own, rows].astype(np.float64)
         p = np.exp(logits, out=logits)
         total = p.sum(0)
@@ -147,7 +148,8 @@ class Gru:
             line, wo = rows[: len(at)], w["wo"][a:b]
             inner = wo @ s.T
             inner += w["bo"][a:b, None]
-            inner -= inner.max(0)
+            if most[k] > SAFE:
+                inner -= inner.max(0)
             held[some] += inner[at, line]
             q = np.exp(inner, out=inner)
             total = q.sum(0)
@@ -256,8 +258,11 @@ class Gru:
         tokens, owner, size = lanes_of(docs, lanes, self.end)
         h = np.zeros((tokens.shape[1], self.hidden), np.float32)
         last = np.full((1, tokens.shape[1]), self.end)
-        for t in range(0, len(tokens), steps):
+        t, wide = 0, lanes * steps
+        while t < len(tokens):
             active = int((size > t).sum())
+            # as few lanes are left, longer windows: as many tokens at once
+            steps = max(steps, min(wide // active, LONGEST_WINDOW))
             now = tokens[t : t + steps, :active]
             inputs = np.concatenate([last[:, :active], now[:-1]])
             last = now[-1:]
@@ -265,6 +270,7 @@ class Gru:
             at = np.flatnonzero((np.arange(t, t + len(now))[:, None] < size[:active]).ravel())
             logp, _ = self.log_probs(states.reshape(-1, self.hidden)[at], now.ravel()[at])
             out += np.bincount(owner[t : t + steps, :active].ravel()[at], logp, len(docs))
+            t += steps
         return out
 
     def dump(self) -> bytes:

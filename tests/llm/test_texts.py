@@ -372,6 +372,37 @@ def test_network_gradients_and_windows():
     assert net.score(some, 2, 5) == pytest.approx(net.score(some, 5, 64), rel=1e-5)
 
 
+def test_one_long_document_is_scored_in_few_windows(monkeypatch):
+    rnd = np.random.default_rng(4)
+    net = lm.Gru(np.array([9, 8, 5, 4, 3, 2, 2, 1, 3.0]), hidden=4, classes=3)
+    for k in net.w:
+        net.w[k] = (net.w[k] + rnd.normal(0, 0.3, net.w[k].shape)).astype(np.float32)
+    docs = [rnd.integers(0, 8, n) for n in (20_000, *rnd.integers(0, 60, 40))]
+    alone = [net.score([d], lanes=1, steps=50)[0] for d in docs]
+    windows, log_probs = [], net.log_probs
+    monkeypatch.setattr(net, "log_probs", lambda *x: windows.append(1) or log_probs(*x))
+    assert np.allclose(net.score(docs), alone, rtol=1e-5) and len(windows) < 100
+
+
+@pytest.mark.parametrize("scale", [1, 300])
+def test_softmax_of_large_weights(scale):
+    rnd = np.random.default_rng(6)
+    net = lm.Gru(np.array([9, 8, 5, 4, 3, 2, 2, 1, 3.0]), hidden=4, classes=3)
+    for k in ("wc", "wo"):
+        net.w[k] = rnd.normal(0, scale, net.w[k].shape).astype(np.float32)
+    states, targets = rnd.uniform(-1, 1, (50, 4)).astype(np.float32), rnd.integers(0, 9, 50)
+
+    def log_softmax(x):
+        x = x.astype(np.float64) - x.max()
+        return x - np.log(np.exp(x).sum())
+
+    expected = []
+    for s, y in zip(states, targets, strict=True):
+        k, at = net.of[y], slice(*net.begin[[net.of[y], net.of[y] + 1]])
+        expected.append(log_softmax(s @ net.w["wc"] + net.w["bc"])[k] + log_softmax(net.w["wo"][at] @ s + net.w["bo"][at])[net.place[y] - net.begin[k]])
+    assert np.allclose(net.log_probs(states, targets)[0], expected, rtol=1e-4, atol=1e-4)
+
+
 def test_segments_teach_each_token_once():
     docs = [np.arange(k) for k in (0, 1, 3, 4, 5, 12, 13)]
     parts, goes_on, cut = lm.segments(docs, 4)
