@@ -50,6 +50,59 @@ def test_substring_by_brute_force(docs, rows, no_docs):
     assert empty.count() == 0 and isinstance(empty.schema["n_words"].dataType, LongType)
 
 
+def spans_in_process(texts, most, buckets):
+    """Covered words (document, number), by way of the blobs of one task and their buckets."""
+    import pyarrow as pa
+
+    records = pa.RecordBatch.from_pydict({"d": list(range(len(texts))), "h": [0] * len(texts), "text": texts})
+    blobs = [x for b in substring._pack(iter([records]), buckets, 20, 3, most) for x in zip(b["bucket"].to_pylist(), b["data"].to_pylist(), strict=True)]
+    blobs.sort(key=lambda x: x[0])
+    dealt = pa.RecordBatch.from_arrays([pa.array([x for x, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "data"])
+    return {(d, k) for b in substring._sort(iter([dealt]), 20) for d, a, z in zip(*(b[c].to_pylist() for c in ("d", "first", "last")), strict=True) for k in range(a, z)}
+
+
+@pytest.mark.parametrize("hashes", [1 << 63, 40])
+def test_substring_in_slices(monkeypatch, hashes):
+    rnd = random.Random(3)
+    passages = [" ".join(rnd.choice("a bc é 日本 x.y 12".split()) for _ in range(45)) for _ in range(6)]
+    texts = ["\n ".join([" ".join(str(rnd.randrange(99)) for _ in range(rnd.randrange(60))), *rnd.sample(passages, rnd.randrange(3))]) for _ in range(70)] + ["", " ", " ".join(passages * 9)]
+    runs = substring.T.hash_runs
+    monkeypatch.setattr(substring, "SLICE_BYTES", 400)
+    monkeypatch.setattr(substring, "COMPARED", 7)
+    monkeypatch.setattr(substring.T, "hash_runs", lambda x, n: runs(x, n) % np.uint64(hashes))  # few: other words with one hash
+    seen, expected = {}, set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (d, k)) != (d, k):
+                expected |= {(d, x) for x in range(k, k + 20)}
+    assert expected
+    for most in (300, 2500, 1 << 20):
+        assert spans_in_process(texts, most, 3) == expected
+
+
+@pytest.mark.parametrize("documents", [1, 2000])
+def test_substring_memory_of_a_batch(documents):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    # six MB in short words: one batch of the map, and one bucket
+    ids = np.random.default_rng(5).integers(0, 90_000, 1_300_000 // documents * documents).reshape(documents, -1)
+    records = pa.RecordBatch.from_pydict({"d": list(range(documents)), "h": [0] * documents, "text": [" ".join(map(str, x)) for x in ids.tolist()]})
+    peaks = []
+    tracemalloc.start()
+    try:
+        blobs = [x for b in substring._pack(iter([records]), 1, 20, 3, substring.BATCH_BYTES) for x in b["data"]]
+        peaks.append(tracemalloc.get_traced_memory()[1] / records["text"].nbytes)
+        tracemalloc.reset_peak()
+        substring._count([x.as_buffer() for x in blobs], 20)
+        peaks.append(tracemalloc.get_traced_memory()[1] / records["text"].nbytes)
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 16, peaks
+
+
 def test_token_files_round_trip(spark, docs, rows, no_docs):
     from tokenizers import Tokenizer
 
