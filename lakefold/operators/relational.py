@@ -65,6 +65,20 @@ def interval_join(left: DataFrame, right: DataFrame, left_start: str, left_end:
     return a.join(b, [*by, "_level", "_cell"]).where((F.col(right_at) >= F.col(left_start)) & (F.col(right_at) < F.col(left_end))).drop("_level", "_cell")
 
 
+def band_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, most: int) -> DataFrame:
+    """Rows of both whose whole numbers left_at and right_at differ by `most` at most. Null matches nothing.
+
+    They meet in cells of a power of two that is longer than the band: a right row goes to the one or two
+    cells that its band touches, a left row to its own. So it is an equi-join, and what is compared grows
+    with the rows of a cell, not with the table.
+    """
+    bits = (2 * most).bit_length()
+    band = [F.col(right_at) - most, F.col(right_at) + most]
+    a = left.withColumn("_cell", F.shiftright(left_at, bits))
+    b = right.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.shiftright(x, bits) for x in band]))))
+    return a.join(b, "_cell").where(F.col(left_at).between(*band)).drop("_cell")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
     """Inner join for keys with very many left rows: these are dealt over salts, and right rows copied to each."""
     # by the row's number in its partition, so repeated rows are dealt out too

@@ -42,7 +42,15 @@ sql("right_join", "select n_name, s_suppkey from supplier right join nation on s
 sql("full_join", "select n_nationkey, s_suppkey from nation full join supplier on n_nationkey + 5 = s_nationkey")
 sql("using_join", "select o_orderkey, a.o_custkey as custkey, b.n from orders a join (select o_orderkey, count(*) as n from orders group by o_orderkey) b using (o_orderkey)")
 sql("cross_join", "select r_name, n_name from region cross join nation")
-sql("theta_join", "select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_size < b.p_size and a.p_partkey between b.p_partkey - 2 and b.p_partkey + 2")
+
+
+@query("select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_size < b.p_size and a.p_partkey between b.p_partkey - 2 and b.p_partkey + 2")
+def theta_join(spark, d):
+    part, = load(spark, d, "part")
+    a, b = (part.select(F.col("p_partkey").alias(x), F.col("p_size").alias(f"{x}_size")) for x in "ab")
+    return R.band_join(a, b, "a", "b", 2).where("a_size < b_size").select("a", "b")
+
+
 sql("self_join", "select a.n_name as a, b.n_name as b from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 sql("semi_exists", "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
 sql("anti_not_exists", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")

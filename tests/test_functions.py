@@ -269,3 +269,18 @@ def test_stream_matches_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("tumbling").collect()}
     assert got == {(r["start"], r["event_type"]): r["n"] for r in E.tumbling(events).collect()}
+
+
+def test_band_join_by_brute_force(spark):
+    numbers = [k * 37 % 101 - 50 for k in range(101)] + [7, 7, None, 2**53 + 1, 2**53 + 4, -(2**62) - 1, -(2**62) + 1]
+    df = spark.createDataFrame(list(enumerate(numbers)), "i int, x long")
+    for most in (0, 1, 2, 5, 8):
+        found = R.band_join(df.toDF("i", "a"), df.toDF("j", "b"), "a", "b", most).select("i", "j").collect()
+        assert sorted(map(tuple, found)) == sorted((i, j) for i, x in enumerate(numbers) for j, y in enumerate(numbers) if x is not None and y is not None and abs(x - y) <= most)
+
+
+def test_theta_join_compares_no_table_with_a_table(spark):
+    from lakefold.plans import catalog
+
+    plan = catalog.QUERIES["theta_join"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
