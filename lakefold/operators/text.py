@@ -10,7 +10,10 @@ import re
 import unicodedata
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -45,9 +48,20 @@ def _bases() -> tuple[str, str]:
     return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stemmed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else [stem(t) for t in x])
+@F.arrow_udf(ArrayType(StringType()))
+def _stemmed(lists: pa.Array) -> pa.Array:
+    return _stemmed_lists(lists)
+
+
+def _stemmed_lists(lists: pa.Array) -> pa.Array:
+    """Each different word of a batch is stemmed once; only these become Python objects."""
+    words = lists.flatten().dictionary_encode()
+    # to_pylist takes ten times as long
+    each = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    stems = pa.array([None if t is None else (_remembered if len(t) <= LONGEST else stem)(t) for t in each], lists.type.value_type)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=lists.is_null())
 
 
 def terms_of(text: str, kind: str = "unicode", tokenchars: str = "", separators: str = "") -> list[str]:
@@ -69,13 +83,19 @@ def fold(word: str) -> str:
 
 
 def _measure(w: str) -> int:
-    return len(re.findall("vc", re.sub("c+", "c", re.sub("v+", "v", _shape(w)))))
+    return _shape(w).count("vc")
+
+
+_SHAPES = str.maketrans({c: "v" if c in "aeiou" else "c" for c in "abcdefghijklmnopqrstuvwxz"})
 
 
 def _shape(w: str) -> str:
+    shape = w.translate(_SHAPES)
+    if "y" not in shape:
+        return shape
     out = ""
-    for i, c in enumerate(w):
-        out += "v" if c in "aeiou" or c == "y" and i and out[-1] == "c" else "c"
+    for i, c in enumerate(shape):
+        out += ("v" if i and out[-1] == "c" else "c") if c == "y" else c
     return out
 
 
@@ -88,6 +108,13 @@ _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "i
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
+_ENDS2, _ENDS3 = tuple(_STEP2), tuple(_STEP3)
+
+
+def _ending(w: str, ends: tuple[str, ...]) -> str:
+    """The longest of the suffixes that w has."""
+    return max((e for e in ends if w.endswith(e)), key=len) if w.endswith(ends) else ""
+
 
 def stem(w: str) -> str:
     """Porter's stemmer for English words in lower case."""
@@ -111,11 +138,11 @@ def stem(w: str) -> str:
                 break
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        end = max((e for e in table if w.endswith(e)), key=len, default="")
+    for table, ends in ((_STEP2, _ENDS2), (_STEP3, _ENDS3)):
+        end = _ending(w, ends)
         if end and _measure(w[: -len(end)]):
             w = w[: -len(end)] + table[end]
-    end = max((e for e in _STEP4 if w.endswith(e)), key=len, default="")
+    end = _ending(w, _STEP4)
     if end and _measure(w[: -len(end)]) > 1 and (end != "ion" or w[-4] in "st"):
         w = w[: -len(end)]
     if w.endswith("e"):
@@ -124,6 +151,11 @@ def stem(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
 
 
+#: Frequent words' stems stay in the worker; longer words than LONGEST are not remembered.
+LONGEST = 32
+_remembered = lru_cache(1 << 16)(stem)
+
+
 def postings(df: DataFrame, id_col: str, text_cols: str | list[str], kind: str = "unicode", only: list[str] | None = None, **options) -> DataFrame:
     """Rows (id, col, pos, term); col numbers the text columns from 0.
 

@@ -127,6 +127,20 @@ def test_stems():
     assert [T.stem(w) for w in words.split()] == stems.split()
 
 
+def test_each_word_of_a_batch_is_stemmed_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(T, "_remembered", lambda w: calls.append(w) or T.stem(w))
+    rows = [["running", "cats", "running"], None, [], ["ponies", "x", "cats"], ["r" * 50 + "ing"]] * 300
+    wanted = [r and [T.stem(w) for w in r] for r in rows]
+    assert T._stemmed_lists(pa.array(rows, pa.list_(pa.string()))).to_pylist() == wanted
+    assert sorted(calls) == ["cats", "ponies", "running", "x"]
+    assert T._stemmed_lists(pa.array(rows, pa.list_(pa.string()))[3:8]).to_pylist() == wanted[3:8]
+    docs = spark.createDataFrame([(k, " ".join(r) if r is not None else None) for k, r in enumerate(rows[:5])], "i int, text string")
+    assert [r["t"] for r in docs.orderBy("i").select(T.tokens(F.col("text"), "porter").alias("t")).collect()] == wanted[:5]
+
+
 def test_search_and_excerpts(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "a quick, lazy dog and a fox"), (3, None)], "id int, text string")
     post = T.postings(docs, "id", "text")
