@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import udtf
 
@@ -35,23 +38,38 @@ def next_char(df: DataFrame, col: str, prefix: str) -> DataFrame:
     return rest.select(F.substring(col, len(prefix) + 1, 1).alias("next")).distinct()
 
 
-def _name(v) -> str:
-    return {dict: "object", list: "array", str: "text", int: "integer", float: "real", type(None): "null"}.get(type(v)) or str(v).lower()
+_NAMES = {dict: "object", list: "array", str: "text", int: "integer", float: "real", type(None): "null"}
+_PLAIN = re.compile(r"[A-Za-z_]\w*")
+# parsed text holds no circles
+_compact = json.JSONEncoder(check_circular=False, separators=(",", ":"), ensure_ascii=False).encode
+
+
+def _text(v) -> str | None:
+    kind = type(v)
+    if kind is str or v is None:
+        return v
+    if kind is int or kind is float and math.isfinite(v):
+        return repr(v)
+    return _compact(v) if v or not isinstance(v, (dict, list)) else "{}" if kind is dict else "[]"
 
 
 def _rows(key, v, parent, path, full, deep, counter):
-    me = counter[0]
-    counter[0] += 1
-    leaf = not isinstance(v, (dict, list))
-    text = v if isinstance(v, str) or v is None else json.dumps(v, separators=(",", ":"), ensure_ascii=False)
-    yield None if key is None else str(key), text, _name(v), text if leaf else None, me, parent, full, path
-    if deep and not leaf:
-        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
-            yield from _rows(k, x, me, full, full + _step(k), True, counter)
+    # what waits to be read, the next one last
+    waiting = [(key, v, parent, path, full)]
+    while waiting:
+        key, v, parent, path, full = waiting.pop()
+        me = counter[0]
+        counter[0] += 1
+        leaf = not isinstance(v, (dict, list))
+        text = _text(v)
+        yield None if key is None else str(key), text, _NAMES.get(type(v)) or text, text if leaf else None, me, parent, full, path
+        if deep and v and not leaf:
+            members = v.items() if isinstance(v, dict) else enumerate(v)
+            waiting += reversed([(k, x, me, full, full + _step(k)) for k, x in members])
 
 
 def _step(k) -> str:
-    return f"[{k}]" if isinstance(k, int) else f".{k}" if re.fullmatch(r"[A-Za-z_]\w*", k) else f'."{k}"'
+    return f"[{k}]" if isinstance(k, int) else f".{k}" if _PLAIN.fullmatch(k) else f'."{k}"'
 
 
 _SCHEMA = "key string, value string, type string, atom string, id int, parent int, fullkey string, path string"
@@ -86,6 +104,49 @@ def _place(key: str, pos: str):
     return F.when(F.col(key).isNull(), F.concat(F.lit("$["), F.col(pos).cast("string"), F.lit("]"))).when(plain, F.concat(F.lit("$."), key)).otherwise(F.concat(F.lit('$."'), key, F.lit('"')))
 
 
+#: Rows that tree() hands on at once, and characters of their values.
+ROWS, CHARS = 10_000, 4 << 20
+_TREE = pa.schema([("key", pa.string()), ("value", pa.string()), ("type", pa.string()), ("atom", pa.string()), ("id", pa.int32()), ("parent", pa.int32()), ("fullkey", pa.string()), ("path", pa.string())])
+
+
+def tree(df: DataFrame, col: str) -> DataFrame:
+    """df with a row per element of a JSON text, parents first: key, value, type, atom, id, parent, fullkey, path.
+
+    Null has no rows, and text that isn't JSON is an error. Texts go to Python and rows come back in
+    Arrow batches of some ROWS rows.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in batches:
+            for at, made in _tree_batches(records[col].to_pylist()):
+                yield pa.RecordBatch.from_arrays([*records.take(at).columns, *made.columns], names=[*records.schema.names, *made.schema.names])
+
+    made = ", ".join(f"`{f.name}` {'int' if f.type == pa.int32() else 'string'}" for f in _TREE)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(rows, f"{kept}, {made}")
+
+
+def _tree_batches(texts: list) -> Iterator[tuple[pa.Array, pa.RecordBatch]]:
+    """Batches of the texts' elements, each with the numbers of their texts."""
+    at, out, chars = [], [], 0
+    for k, text in enumerate(texts):
+        if text is None:
+            continue
+        for r in _rows(None, json.loads(text), None, "$", "$", True, [0]):
+            at.append(k)
+            out.append(r)
+            chars += len(r[1] or "")
+            if len(out) >= ROWS or chars >= CHARS:
+                yield _tree_batch(at, out)
+                at, out, chars = [], [], 0
+    if out:
+        yield _tree_batch(at, out)
+
+
+def _tree_batch(at: list, rows: list) -> tuple[pa.Array, pa.RecordBatch]:
+    return pa.array(at, pa.int64()), pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TREE, strict=True)], schema=_TREE)
+
+
 @udtf(returnType=_SCHEMA)
 class JsonTree:
     """Every element below a JSON text, parents first."""

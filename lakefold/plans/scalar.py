@@ -208,9 +208,8 @@ def json_each(spark, d):
 select event_id, key, {_TEXT.format("value")} as value, {_KIND} as type, {_TEXT.format("atom")} as atom, fullkey, path
 from (select event_id, {_DEEP} as doc from events) e, json_tree(e.doc)""")
 def json_tree(spark, d):
-    tvf.register(spark)
-    _events(spark, d).select("event_id", F.expr(_DEEP).alias("doc")).createOrReplaceTempView("event_props")
-    return spark.sql("select event_id, j.key, j.value, j.type, j.atom, j.fullkey, j.path from event_props, lateral json_tree(doc) j")
+    docs = _events(spark, d).select("event_id", F.expr(_DEEP).alias("doc"))
+    return tvf.tree(docs, "doc").select("event_id", "key", "value", "type", "atom", "fullkey", "path")
 
 
 @query("""select event_id, '[' || event_id || ',"' || event_type || '",null]' as a, '{"id":' || event_id || ',"type":"' || event_type || '"}' as o, 3 as n from events""")

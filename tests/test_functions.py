@@ -79,6 +79,25 @@ def test_table_functions(spark):
     assert [r["type"] for r in rows] == ["object", "array", "integer", "object", "null"]
 
 
+def test_json_tree_rows_come_in_batches(spark, monkeypatch):
+    docs = ['{"a":[1,{"b c":null}],"z":"é","f":[1.50,1e3,true]}', None, "7", "[]", "[" * 40 + "]" * 40] * 50
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, doc string")
+    tree = tvf.tree(df, "doc")
+    assert "MapInArrow" in tree._jdf.queryExecution().executedPlan().toString()
+    names = ["i", "key", "value", "type", "atom", "id", "parent", "fullkey", "path"]
+    tvf.register(spark)
+    df.createOrReplaceTempView("tree_docs")
+    one_by_one = spark.sql("select i, t.* from tree_docs, lateral json_tree(doc) t")
+    got = sorted(map(tuple, tree.select(*names).collect()), key=lambda r: (r[0], r[5]))
+    assert got == sorted(map(tuple, one_by_one.select(*names).collect()), key=lambda r: (r[0], r[5]))
+    assert [r[2] for r in got if r[0] == 0] == ['{"a":[1,{"b c":null}],"z":"é","f":[1.5,1000.0,true]}', '[1,{"b c":null}]', "1", '{"b c":null}', None, "é", "[1.5,1000.0,true]", "1.5", "1000.0", "true"]
+    monkeypatch.setattr(tvf, "ROWS", 7)
+    parts = list(tvf._tree_batches(docs))
+    assert max(len(at) for at, _ in parts) == 7
+    assert [(k, *r.values()) for at, b in parts for k, r in zip(at.to_pylist(), b.to_pylist(), strict=True)] == got
+    assert tvf.tree(df.where("doc is null"), "doc").count() == 0
+
+
 def test_sales_top_two(spark):
     rows = [("Alice", "North", 34), ("Frank", "South", 22), ("Grant", "South", 14), ("Heidi", "South", 35), ("Chris", "North", 43), ("Edith", "South", 30)]
     df = spark.createDataFrame(rows, "emp string, region string, total int")
