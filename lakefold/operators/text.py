@@ -11,7 +11,6 @@ import unicodedata
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -391,39 +390,44 @@ def highlight(text: Column, words: list[str], before: str = "[", after: str = "]
 
 
 def snippet(text: Column, words: list[str], size: int = 16, before: str = "[", after: str = "]", gap: str = "...") -> Column:
-    """The window of `size` words with most different query words, the earliest of equal ones, marked."""
-
-    wanted = set(words)
-
-    @F.pandas_udf(StringType())
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else _best_window(t, wanted, size, before, after, gap))
-
-    return cut(text)
-
-
-def _best_window(text: str, wanted: set[str], size: int, before: str, after: str, gap: str) -> str:
-    words = list(re.finditer(r"\w+", text))
-    hit = [w.group().lower() if w.group().lower() in wanted else None for w in words]
-    counts: dict[str, int] = {}
-    best, at = -1, 0
-    for i, h in enumerate(hit):
-        if h:
-            counts[h] = counts.get(h, 0) + 1
-        if i >= size and hit[i - size]:
-            counts[hit[i - size]] -= 1
-        score = sum(v > 0 for v in counts.values())
-        if score > best:
-            best, at = score, max(0, i - size + 1)
-    some = words[at : at + size]
-    if not some:
-        return text
-    out, last = "", some[0].start()
-    for w in some:
-        mark = w.group().lower() in wanted
-        out += text[last : w.start()] + (before + w.group() + after if mark else w.group())
-        last = w.end()
-    return (gap if at else "") + out + (gap if at + size < len(words) else "")
+    """The window of `size` words with most different query words, the earliest of equal ones, marked.
+
+    All in the JVM. One look at each word: of every query word only its last place is kept.
+    """
+    wanted = list(dict.fromkeys(words))
+    word, rest = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]*"
+    hit = lambda w: F.lower(w).isin(wanted)
+    mark = lambda w: F.when(hit(w), F.concat(F.lit(before), w, F.lit(after))).otherwise(w)
+
+    def best(found: Column) -> Column:
+        """Number of the last word of the best window, from the places of query words."""
+        start = F.struct(*[F.lit(-size).alias(f"at{k}") for k in range(len(wanted))], F.lit(0).alias("most"), F.lit(0).alias("end"))
+
+        def step(state: Column, x: Column) -> Column:
+            at = [F.when(x["word"] == w, x["i"]).otherwise(state[f"at{k}"]) for k, w in enumerate(wanted)]
+            n = reduce(lambda a, b: a + b, [(p > x["i"] - size).cast("int") for p in at], F.lit(0))
+            return _let(F.struct(*[p.alias(f"at{k}") for k, p in enumerate(at)], n.alias("n")), lambda s: F.struct(*[s[f"at{k}"].alias(f"at{k}") for k in range(len(wanted))], F.greatest(state["most"], s["n"]).alias("most"), F.when(s["n"] > state["most"], x["i"]).otherwise(state["end"]).alias("end")))
+
+        return F.aggregate(found, start, step)["end"]
+
+    def cut(d: Column) -> Column:
+        """From all words, and all words with what follows them."""
+        found = F.filter(F.transform(d["words"], lambda w, i: F.struct(i.alias("i"), F.lower(w).alias("word"))), lambda x: x["word"].isin(wanted))
+
+        def shown(at: Column) -> Column:
+            whole = F.zip_with(F.slice(d["words"], at + 1, size), F.slice(d["units"], at + 1, size), lambda w, u: F.struct(mark(w).alias("w"), F.concat(mark(w), F.substring(u, F.char_length(w) + 1, F.char_length(u))).alias("u")))
+            inside = _let(whole, lambda s: F.concat(F.array_join(F.transform(F.slice(s, 1, F.size(s) - 1), lambda x: x["u"]), ""), F.element_at(s, -1)["w"]))
+            return F.concat(F.when(at > 0, gap).otherwise(""), inside, F.when(at + size < F.size(d["words"]), gap).otherwise(""))
+
+        return _let(F.greatest(best(found) - size + 1, F.lit(0)), shown)
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"), F.regexp_extract_all(text, F.lit(word + rest), F.lit(0)).alias("units"))
+    return _let(parts, lambda d: F.when(F.size(d["words"]) > 0, cut(d)).otherwise(text))
+
+
+def _let(x: Column, f) -> Column:
+    """f of x, which is computed once, whatever f does with it."""
+    return F.transform(F.array(x), f)[0]
 
 
 def offsets(post: DataFrame, words: list[str]) -> DataFrame:

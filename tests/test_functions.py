@@ -169,6 +169,37 @@ def test_search_and_excerpts(spark):
     assert value(spark, T.snippet(F.lit("a b c d e f g"), ["e", "f"], 3)) == "...d [e] [f]..."
 
 
+def _window(text, wanted, size):
+    """By brute force: each window of size words, or all of a shorter text."""
+    import re
+
+    words = list(re.finditer(r"\w+", text))
+    if not words:
+        return text
+    starts = range(max(1, len(words) - size + 1))
+    low = [w.group().lower() for w in words]
+    at = max(starts, key=lambda k: (len(wanted & set(low[k : k + size])), -k))
+    some = words[at : at + size]
+    out = text[some[0].start() : some[-1].end()]
+    for w in reversed(some):
+        a, b = w.start() - some[0].start(), w.end() - some[0].start()
+        out = out[:a] + (f"[{out[a:b]}]" if out[a:b].lower() in wanted else out[a:b]) + out[b:]
+    return "..." * (at > 0) + out + "..." * (at + size < len(words))
+
+
+def test_snippets_by_brute_force_without_python_workers(spark):
+    import random
+
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(["a", "This", "from", "FROM", "fromm", "é_1", "zß", "𝒳", "日本"]) + pick.choice([" ", ", ", "\n-- ", ".", "\u0301 "]) for _ in range(pick.randint(0, 60))) for _ in range(300)]
+    texts += ["", "...", "  from", "a " * 40 + "this  from.", "x"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, text string")
+    for wanted, size in ((["this", "from"], 16), (["from", "from", "zß"], 3), (["a"], 1), ([], 4)):
+        made = df.select("i", T.snippet(F.col("text"), wanted, size).alias("s"))
+        assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+        assert {r["i"]: r["s"] for r in made.collect()} == {-1: None} | {k: _window(t, set(wanted), size) for k, t in enumerate(texts)}
+
+
 def test_fts_snippet_marks_whole_texts(spark, tmp_path):
     import re
 
